@@ -7,7 +7,10 @@ Python worker loads only what its task uses.
 
 from importlib import import_module
 
-_MODULES = ("mixing", "topk", "token_files", "secrets")
+_MODULES = (
+    "lm_score", "toxicity", "mixing", "line_dedup", "decontaminate",
+    "licences", "simhash", "topk", "token_files", "secrets",
+)
 
 
 def _modules():
