@@ -63,17 +63,19 @@ def threshold_search(block, ids, order, values, query, query_id, k, step=64):
         stop = min(n, depth + step)
         if len(weighing):
             cols = np.where(up[weighing, None], np.arange(depth, stop), n - 1 - np.arange(depth, stop))
-            met = np.unique(order[weighing[:, None], cols])
+            met = seen.copy()
+            met[order[weighing[:, None], cols].ravel()] = True
         else:
-            met = np.arange(n)
-            stop = n
-        new = met[~seen[met]]
-        seen[new] = True
+            met, stop = np.ones(n, bool), n
+        new = np.flatnonzero(met & ~seen)
+        seen = met
         new = new[ids[new] != query_id]
         scores, found = np.concatenate([scores, block[new] @ query]), np.concatenate([found, ids[new]])
         if len(scores) > k:
             best = _ranking(scores, found)[:k]
             scores, found = scores[best], found[best]
+        if seen.all():
+            break
         edge = np.where(up, values[:, stop - 1], values[:, n - stop])
         if len(scores) == k and scores.min() > edge @ query:
             break
