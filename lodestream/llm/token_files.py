@@ -3,8 +3,8 @@
 A 64-bit word holds a 4-bit selector and 60 bits of payload: as many ids, of as
 many bits each, as the selector says. Ids of over 60 bits are escapes: such a
 word's payload is the id's place in the block's list of raw ids, so that every
-word of a block can be decoded at the same time. A block holds whole documents
-and the offset of each one's first id.
+word of a block can be decoded at the same time. A block holds whole documents,
+the offset of each one's first id and that of every GROUP ids' first word.
 
 A file is a Parquet table of blocks, in ascending id order: part and block
 number, ids before the block in its part, then the block itself. `write_tokens`
@@ -18,8 +18,11 @@ empty table gives a file without blocks; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,60 +36,88 @@ from lodestream.llm.common import BATCH_ROWS, shared_dir, small_batches, table
 SELECTORS = ((1, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6),
              (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 END_ID = 2
+_STOP = re.compile(rb"(?<=[0-9a-z])[.,](?=[\t-\r ])")
+#: Kinds of bytes: a of letters and digits (those of U+00C0 to U+027F, but for two signs, are all letters), ? of others that may not be.
+_KINDS = bytes(ord("a") if chr(b).isalnum() and b < 128 or 0x80 <= b < 0xC0 or 0xC3 <= b <= 0xC9 else ord("?") if b >= 0xC0
+               else ord(" ") if b in b" \t\n\x0b\x0c\r" else ord(".") if b in b".," else ord("x") for b in range(256))
 #: Ids in a block, beyond which it is closed after the document at hand.
 BLOCK_IDS = 1 << 18
-#: Distinct words whose ids a worker keeps before it starts afresh.
-CACHE_WORDS = 300_000
+#: Distinct words whose ids a worker keeps, about 170 bytes each.
+CACHE_WORDS = 1_200_000
+#: Ids in a group; a block has the offset of each group's first word.
+GROUP = 240
 _LIMITS = np.array([1 << b for b in range(61)], np.uint64)
+_FEW_BITS = np.searchsorted(_LIMITS, np.arange(1 << 20, dtype=np.uint64), side="right").astype(np.uint8)
+_COUNTS = np.array([c for c, _ in SELECTORS], np.int64)
 
 
-def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and raw (escaped) ids of a sequence of unsigned 64-bit ids."""
+def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, the offset of each group's first word, and raw (escaped) ids of a sequence of unsigned 64-bit ids.
+
+    A group is GROUP ids; its last word may have room to spare. Within a group
+    each word takes as many ids as fit; all groups are packed in step.
+    """
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
     if not n:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    bits = np.searchsorted(_LIMITS, ids, side="right").astype(np.uint8)
-    bits = np.concatenate([bits, np.zeros(120, np.uint8)])
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    bits = np.searchsorted(_LIMITS, ids, side="right") if int(ids.max()) >> 20 else _FEW_BITS[ids.astype(np.intp)]
+    most = int(bits.max())
     choice = np.zeros(n, np.uint8)  # the escape, if nothing else fits
-    places = np.arange(n + 120, dtype=np.int64)
-    for s in range(len(SELECTORS) - 1, 0, -1):
+    at = np.arange(n)
+    limit = np.minimum((at // GROUP + 1) * GROUP, n)
+    for s in range(len(SELECTORS) - 1, 0, -1):  # what fits a selector fits those before it here
         count, width = SELECTORS[s]
-        bad = np.where(bits > width, places, n + 120)
-        if count == 1:
-            choice[bits[:n] <= width] = s
-            continue
-        if (bad == n + 120).sum() < count:
-            continue
-        nearest = np.minimum.accumulate(bad[::-1])[::-1]
-        choice[nearest[:n] - places[:n] >= count] = s
-    counts = np.array([c for c, _ in SELECTORS])
-    follow = (places[:n] + counts[choice]).tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at = follow[at]
-    starts = np.array(starts, np.int64)
-    chosen = choice[starts]
+        if most > width:
+            if len(at) * count < n:  # few places are left: look at their ids
+                inside = np.minimum(at[:, None] + np.arange(count), limit[at, None] - 1)
+                at = at[bits[inside].max(axis=1) <= width]
+            else:
+                wide = np.zeros(n + 1, np.int32)
+                np.cumsum(bits > width, out=wide[1:])
+                at = at[wide[np.minimum(at + count, limit[at])] == wide[at]]
+            if not len(at):
+                break
+        choice[at] = s
+    group = np.arange(0, n, GROUP)
+    now, ends, starts, groups = group.copy(), np.minimum(group + GROUP, n), [], []
+    number = np.arange(len(group))
+    while len(now):
+        starts.append(now)
+        groups.append(number)
+        now = now + _COUNTS[choice[now]]
+        more = now < ends
+        now, ends, number = now[more], ends[more], number[more]
+    starts, groups = np.sort(np.concatenate(starts)), np.concatenate(groups)
+    sizes = np.bincount(groups, minlength=len(group))
+    chosen, last = choice[starts], np.minimum((starts // GROUP + 1) * GROUP, n)
     out = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([ids, np.zeros(120, np.uint64)])
     for s, (count, width) in enumerate(SELECTORS):
         if s == 0 or width == 0:
             continue
         at = np.flatnonzero(chosen == s)
         for i in range(count if len(at) else 0):
-            out[at] |= padded[starts[at] + i] << np.uint64(i * width)
+            here = starts[at] + i
+            inside = here < last[at]
+            if not inside.all():
+                at, here = at[inside], here[inside]
+            out[at] |= ids[here] << np.uint64(i * width)
     escaped = np.flatnonzero(chosen == 0)
     out[escaped] |= np.arange(len(escaped), dtype=np.uint64)
-    return out, ids[starts[escaped]]
+    return out, np.cumsum(sizes) - sizes, ids[starts[escaped]]
 
 
-def decode(words: np.ndarray, raw: np.ndarray, n: int) -> np.ndarray:
+def decode(words: np.ndarray, groups: np.ndarray, raw: np.ndarray, n: int) -> np.ndarray:
     """The n ids of a block, all words at a time."""
+    out = np.zeros(n, np.uint64)
+    if not n:
+        return out
     selector = (words >> np.uint64(60)).astype(np.intp)
-    counts = np.array([c for c, _ in SELECTORS], np.int64)[selector]
-    starts = np.cumsum(counts) - counts
-    out = np.zeros(int(counts.sum()), np.uint64)
+    counts = _COUNTS[selector]
+    before = np.cumsum(counts) - counts
+    sizes = np.diff(np.append(groups, len(words)))
+    starts = before - np.repeat(before[groups] - np.arange(len(groups)) * GROUP, sizes)
+    last = np.repeat(np.minimum(np.arange(1, len(groups) + 1) * GROUP, n), sizes)
     for s, (count, width) in enumerate(SELECTORS):
         at = np.flatnonzero(selector == s)
         if not len(at) or (width == 0 and s):
@@ -96,84 +127,119 @@ def decode(words: np.ndarray, raw: np.ndarray, n: int) -> np.ndarray:
             continue
         mask = np.uint64((1 << width) - 1)
         for i in range(count):
+            inside = starts[at] + i < last[at]
+            if not inside.all():
+                at = at[inside]
             out[starts[at] + i] = (words[at] >> np.uint64(i * width)) & mask
-    return out[:n]
+    return out
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that drops white space and never merges across it.
+    """Ids of texts by a tokenizer that drops white space and letter case and never merges across white space.
 
-    Each distinct word goes to the tokenizers library once; a word that ends in a
-    letter and then a full stop or comma is two such words, as the vocabulary's
-    own split has it. Holds CACHE_WORDS words at most.
+    Each distinct word goes to the tokenizers library once. A full stop or comma
+    between a letter or digit and white space is a word, as the vocabulary's own
+    split has it. Of over cache_words words, those used least are forgotten.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache_words
-        self._clear()
-
-    def _clear(self):
         self.place: dict[bytes, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.begin, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _put(self, word: bytes, ids) -> None:
-        n, k = len(ids), len(self.place)
-        while self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        if k == len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.size))
-        self.flat[self.used:self.used + n] = ids
-        self.begin[k], self.size[k] = self.used, n
-        self.used += n
-        self.place[word] = k
-
-    def _ids(self, word: bytes) -> np.ndarray:
-        k = self.place[word]
-        return self.flat[self.begin[k]:self.begin[k] + self.size[k]]
-
-    def _learn(self, words: set[bytes]) -> None:
-        split = {w: (w[:-1], w[-1:]) for w in words if len(w) > 1 and w[-1:] in (b".", b",") and w.decode()[-2].isalpha()}
-        plain = {w for w in words if w not in split}
-        plain |= {part for pair in split.values() for part in pair if part not in self.place}
-        plain = sorted(plain)
-        for at in range(0, len(plain), 4096):
-            some = plain[at:at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self._put(w, e.ids)
-        for w, (a, b) in split.items():
-            self._put(w, np.concatenate([self._ids(a), self._ids(b)]))
+        self.used = 0  # of flat; begin, size and uses go by place
+        self.flat, self.begin, self.size, self.uses = (np.zeros(1 << 16, t) for t in (np.uint32, np.int32, np.int32, np.int32))
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _put(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        for name, more in (("flat", ids), ("begin", self.used + np.cumsum(sizes) - sizes), ("size", sizes), ("uses", np.zeros(len(words), np.int64))):
+            used, have = self.used if name == "flat" else len(self.place), getattr(self, name)
+            if used + len(more) > len(have):
+                have = np.concatenate([have, np.zeros(len(have) + len(more), have.dtype)])
+                setattr(self, name, have)
+            have[used:used + len(more)] = more
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.used += len(ids)
+
+    def _forget(self, room: int) -> None:
+        stay = np.sort(np.argsort(-self.uses[:len(self.place)], kind="stable")[:max(0, min(self.limit // 2, self.limit - room))])
+        words, size, uses = list(self.place), self.size[stay], self.uses[stay] // 2
+        flat = self.flat[np.repeat(self.begin[stay] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        self.place, self.used = {}, 0
+        self._put([words[i] for i in stay.tolist()], flat, size)
+        self.uses[:len(stay)] = uses
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Words of letters alone have one end-of-word id each, so many are encoded as one text."""
+        if b"\n" in words:
+            words = [w for w in words if w != b"\n"]
+            self._put([b"\n"], np.array([self.end_id], np.uint32), np.array([1], np.int64))
+        texts = [w.decode() for w in words]
+        alone = np.fromiter((w.isalpha() or t.lower().isalpha() for w, t in zip(words, texts)), bool, len(words))
+        for lettered in (True, False):
+            some = np.flatnonzero(alone == lettered).tolist()
+            for k in range(0, len(some), 1024):
+                part = some[k:k + 1024]
+                ids = None
+                if lettered:
+                    flat = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
+                    ends = np.flatnonzero(self.closes[flat]) + 1
+                    if len(ends) == len(part) and ends[-1] == len(flat):
+                        ids = flat, np.diff(ends, prepend=0)
+                if ids is None:
+                    lists = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)]
+                    ids = np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
+                self._put([words[i] for i in part], *ids)
+
+    def _words(self, text: str) -> list[bytes]:
+        data = text.encode()
+        if b"<|" in data:  # special tokens keep their case
+            return data.split()
+        kinds = data.translate(_KINDS)
+        if b"?" in kinds or b"x. " in kinds or b".. " in kinds or b"\xc3\x97" in data or b"\xc3\xb7" in data:
+            return _STOP.sub(rb" \g<0>", data.lower()).split()
+        data = data.lower().replace(b". ", b" . ").replace(b", ", b" , ")
+        return data.replace(b".\n", b" .\n").replace(b",\n", b" ,\n").split()
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has, end_id counted."""
-        split = [t.encode().split() for t in texts]  # at ASCII white space, as bytes split
-        every = [w for ws in split for w in ws]
-        new = set(every) - self.place.keys()
-        if new:
+        split = [self._words(t) for t in texts]
+        for ws in split:
+            ws.append(b"\n")  # no text has such a word: the end id
+        self.end_id = end_id
+        every = list(chain.from_iterable(split))
+        at = self._places(every)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = {every[i] for i in missing.tolist()}
             if len(self.place) + len(new) > self.limit:
-                self._clear()
-                new = set(every)
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
+                self._forget(len(new))
+                at = self._places(every)
+                missing = np.flatnonzero(at < 0)
+                new = {every[i] for i in missing.tolist()}
+            self._learn(list(new))
+            at[missing] = self._places([every[i] for i in missing.tolist()])
+        self.uses += np.bincount(at, minlength=len(self.uses))
         sizes = self.size[at]
         per_text = np.fromiter(map(len, split), np.int64, len(split))
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        lengths = np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])]) + 1
-        source = np.repeat(self.begin[at] - ends[:-1], sizes) + np.arange(ends[-1])
-        out = np.full(int(lengths.sum()), end_id, np.uint32)
-        mine = np.ones(len(out), bool)
-        mine[np.cumsum(lengths) - 1] = False
-        out[mine] = self.flat[source]
-        return out, lengths
+        ends = np.zeros(len(at) + 1, np.int32)
+        np.cumsum(sizes, out=ends[1:])
+        source = np.repeat(self.begin[at] - ends[:-1], sizes)
+        source += np.arange(ends[-1], dtype=np.int32)
+        return self.flat[source], np.diff(ends[np.cumsum(per_text)], prepend=0).astype(np.int64)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 _BLOCKS = ("part int, block int, ids_before long, n_ids long, doc_ids array<bigint>, offsets array<bigint>, "
-           "words binary, escapes binary")
+           "words binary, groups array<bigint>, escapes binary")
 
 
 def _write_blocks(batches, path: str, end_id: int):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
     tokenizer = _TOKENIZERS[path]
@@ -184,12 +250,12 @@ def _write_blocks(batches, path: str, end_id: int):
 
     def flush():
         ids, sizes = np.concatenate(parts), np.concatenate(lengths)
-        packed, raw = encode(ids)
+        packed, groups, raw = encode(ids)
         return pa.RecordBatch.from_arrays([
             pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()),
             pa.array([doc_ids], pa.list_(pa.int64())), pa.array([np.cumsum(sizes) - sizes], pa.list_(pa.int64())),
-            pa.array([packed.astype("<u8").tobytes()], pa.binary()), pa.array([raw.astype("<u8").tobytes()], pa.binary()),
-        ], names=["part", "block", "ids_before", "n_ids", "doc_ids", "offsets", "words", "escapes"])
+            pa.array([packed.astype("<u8").tobytes()], pa.binary()), pa.array([groups], pa.list_(pa.int64())), pa.array([raw.astype("<u8").tobytes()], pa.binary()),
+        ], names=["part", "block", "ids_before", "n_ids", "doc_ids", "offsets", "words", "groups", "escapes"])
 
     for batch in batches:
         texts, names = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
@@ -218,7 +284,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 def _read_blocks(batches, first: dict[int, int], digests: bool):
     for batch in batches:
         for r in batch.to_pylist():
-            ids = decode(np.frombuffer(r["words"], "<u8"), np.frombuffer(r["escapes"], "<u8"), r["n_ids"])
+            ids = decode(np.frombuffer(r["words"], "<u8"), np.array(r["groups"], np.int64), np.frombuffer(r["escapes"], "<u8"), r["n_ids"])
             offsets = np.array([*r["offsets"], r["n_ids"]], np.int64)
             data = ids.astype("<u4")
             columns = [pa.array(r["doc_ids"], pa.int64()), pa.array(offsets[:-1] + r["ids_before"] + first[r["part"]], pa.int64()), pa.array(np.diff(offsets), pa.int64())]
