@@ -223,7 +223,7 @@ class WordTokenizer:
                 new = {every[i] for i in missing.tolist()}
             self._learn(list(new))
             at[missing] = self._places([every[i] for i in missing.tolist()])
-        self.uses += np.bincount(at, minlength=len(self.uses))
+        np.add.at(self.uses, at, 1)
         sizes = self.size[at]
         per_text = np.fromiter(map(len, split), np.int64, len(split))
         ends = np.zeros(len(at) + 1, np.int32)
