@@ -128,25 +128,25 @@ def _slot_masks(items: DataFrame) -> np.ndarray:
 
 
 def candidate_windows(h: np.ndarray, masks: np.ndarray, sizes: np.ndarray, least: float = SIMILARITY):
-    """(start, size) of each window that can match; h: word hashes of a text."""
-    s = shingle_hashes(h)
-    if not len(s):
-        return
-    hit = masks[(s & np.uint64((1 << SLOT_BITS) - 1)).astype(np.intp)]
-    at = np.flatnonzero(hit)
-    if not len(at):
-        return
-    present = np.bitwise_or.reduce(hit[at])
-    for size in sizes.tolist():
-        bit = np.uint64(size % _CLASSES)
-        if not (present >> bit) & np.uint64(1):
+    """(start, size, shingles) of each window that can match; h: word hashes of a text."""
+    for k in sorted({min(SHINGLE, s) for s in sizes.tolist()}):  # windows of fewer words are one shingle
+        s = shingle_hashes(h, k)
+        if not len(s):
             continue
-        w = min(size, len(h))
-        m = max(1, w - SHINGLE + 1)
-        total = np.zeros(len(s) + 1, np.int32)
-        np.cumsum((hit >> bit) & np.uint64(1), out=total[1:])
-        for start in np.flatnonzero(total[m:] - total[:len(s) + 1 - m] >= least * m - 1e-9).tolist():
-            yield start, size, s[start:start + m]
+        hit = masks[(s & np.uint64((1 << SLOT_BITS) - 1)).astype(np.intp)]
+        at = np.flatnonzero(hit)
+        if not len(at):
+            continue
+        present = np.bitwise_or.reduce(hit[at])
+        for size in sizes[np.minimum(sizes, SHINGLE) == k].tolist():
+            bit = np.uint64(size % _CLASSES)
+            if not (present >> bit) & np.uint64(1):
+                continue
+            m = max(1, min(size, len(h)) - k + 1)
+            total = np.zeros(len(s) + 1, np.int32)
+            np.cumsum((hit >> bit) & np.uint64(1), out=total[1:])
+            for start in np.flatnonzero(total[m:] - total[:len(s) + 1 - m] >= least * m - 1e-9).tolist():
+                yield start, size, s[start:start + m]
 
 
 def _windows(batches, shared, sizes):

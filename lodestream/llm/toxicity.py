@@ -1,6 +1,7 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Tokens of a text are tagged toxic or not. The field has hashed features of each
+Tokens (runs of ASCII letters and digits and of all other characters that are
+not ASCII, lower-cased A-Z) are tagged toxic or not. The field has hashed features of each
 token (the word, its first and last letters, how strongly the word goes with the
 toxic label) and weights for each pair of neighbouring tags. It is fitted to
 tokens labelled from document labels: in a toxic document those words are toxic
