@@ -132,11 +132,13 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     within = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
     pairs = sized.where("n = 2").where(within("lo", "hi")).select(F.col("lo").alias("src"), F.col("hi").alias("dst"))
 
-    middle = keys.join(sized.where(f"n > 2 and n <= {bucket}").select("choice", "key"), ["choice", "key"])
-    lists = middle.groupBy("choice", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
+    # both sides grow with the corpus: always merged, never broadcast
+    shared = keys.join(sized.where("n > 2").select("choice", "key", "n").hint("merge"), ["choice", "key"])
+    shared = stored(shared, "shared-keys")
+    lists = shared.where(f"n <= {bucket}").groupBy("choice", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
     some = lists.mapInArrow(lambda b: _bucket_links(b, radius), "src long, dst long")
 
-    crowded = keys.join(sized.where(f"n > {bucket}").select("choice", "key"), ["choice", "key"], "left_semi").select("fp").distinct()
+    crowded = shared.where(f"n > {bucket}").select("fp").distinct()
     crowded = stored(crowded, "crowded")
     chunks = max(1, -(-crowded.count() // (bucket // 2)))
     chunked = (crowded.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.lit(chunks)).cast("int"))
