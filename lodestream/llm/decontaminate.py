@@ -205,5 +205,27 @@ def op5_decontaminate(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_TOKENS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+#: The exact similarity of every window that shares a shingle with an item, without fingerprints; items of SHINGLE to LADDER words.
+_OP5_SQL = f"""
+WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+t AS (SELECT item_id, {_TOKENS} AS w FROM benchmark),
+ds AS (SELECT doc_id, i, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s, len(w) AS n FROM d, generate_series(1, len(w) - {SHINGLE - 1}) AS g(i)),
+ts AS (SELECT item_id, j, array_to_string(w[j:j + {SHINGLE - 1}], ' ') AS s, len(w) AS n FROM t, generate_series(1, len(w) - {SHINGLE - 1}) AS g(j)),
+tn AS (SELECT item_id, s, row_number() OVER (PARTITION BY item_id, s ORDER BY j) AS nth FROM ts),
+places AS (
+  SELECT DISTINCT doc_id, item_id, a, ts.n, least(ts.n, ds.n) - {SHINGLE - 1} AS m
+  FROM ds JOIN ts ON ds.s = ts.s, generate_series(greatest(1, i - least(ts.n, ds.n) + {SHINGLE}), least(i, ds.n - least(ts.n, ds.n) + 1)) AS g(a)),
+windows AS (
+  SELECT p.doc_id, p.item_id, a, p.n, m, ds.s, row_number() OVER (PARTITION BY p.doc_id, p.item_id, a, ds.s ORDER BY i) AS nth
+  FROM places p JOIN ds ON ds.doc_id = p.doc_id AND i BETWEEN a AND a + m - 1),
+shared AS (
+  SELECT doc_id, w.item_id, a, n, m, count(tn.s) AS hits
+  FROM windows w LEFT JOIN tn ON w.item_id = tn.item_id AND w.s = tn.s AND w.nth = tn.nth GROUP BY ALL),
+rated AS (SELECT *, hits::DOUBLE / (m + n - {SHINGLE - 1} - hits) AS similarity FROM shared),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, a) AS r FROM rated WHERE similarity >= {SIMILARITY} - 1e-9)
+SELECT doc_id, item_id, similarity, (a - 1)::INTEGER AS first_word, n::INTEGER AS n_words FROM best WHERE r = 1
+"""
+
 QUERIES = {"op5_decontaminate": op5_decontaminate}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_decontaminate": _OP5_SQL}
