@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows in an Arrow batch: 1024 documents bound a worker's memory at a few MB for usual texts.
 BATCH_ROWS = 1024
 
@@ -23,17 +24,30 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that all machines share: spark.checkpoint.dir, or one of this process where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestream-")
+        own = tempfile.mkdtemp(prefix="lodestream-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = "file://" + own
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def own_path(spark: SparkSession, tag: str) -> str:
+    """A new path in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/lodestream-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has stored; results that have not been written elsewhere go with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestream-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: computed once, and still there when an executor is lost."""
-    path = f"{shared_dir(df.sparkSession)}/lodestream/{tag}-{uuid.uuid4().hex}"
+    path = own_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,7 +71,6 @@ def components(nodes: DataFrame, edges: DataFrame, limit: int = 60) -> DataFrame
     logarithm of the longest path. Every step is a min aggregation plus an
     equi-join, and is checkpointed in the shared folder.
     """
-    shared_dir(nodes.sparkSession)
     e = edges.where("src <> dst").select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     e = stored(e, "edges")

@@ -10,8 +10,8 @@ marginal; a document's score is a logistic function, fitted to the document
 labels, of its highest marginal, the sum of its marginals and their share.
 
 Fitting uses SAMPLE_ROWS documents of either label at most, those of least hash,
-so the driver holds a bounded sample; rows of a class count as many as they
-stand for. Everything else covers all data: each whole text is scored.
+without any of over SAMPLE_CHARS characters, so the driver holds a bounded
+sample; rows of a class count as many as they stand for. Everything else covers all data: each whole text is scored.
 
 Defined cases: null and empty texts have no tokens and get the score that an
 empty document gets; labels that are null or neither 0 nor 1 aren't learnt from;
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.common import crc_mod, small_batches, table
 
-SAMPLE_ROWS = 2000
+#: Most documents of a label, and most characters of a document, to learn from.
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 200_000
 FEATURES = 1 << 18
 #: A word goes with the label from this many toxic documents, this log ratio and this log-likelihood statistic on.
 LEAST_DOCS, LEAST_RATIO, LEAST_G = 3, 1.5, 24.0
@@ -289,7 +290,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, keep=None, id_col: str = "doc_id"
         picked = some if picked is None else picked.union(some)
     # 2 * rows pairs of numbers at most
     sample = docs.select(F.col(id_col).alias("tox_of"), F.coalesce(F.col(text_col), F.lit("")).alias("tox_text")).join(
-        F.broadcast(picked), F.col("tox_of") == F.col("tox_id")).select("tox_of", "tox_text", "tox_label").collect()
+        F.broadcast(picked), F.col("tox_of") == F.col("tox_id")).where(F.length("tox_text") <= SAMPLE_CHARS).select("tox_of", "tox_text", "tox_label").collect()
     sample.sort()
     y = np.array([r.tox_label for r in sample], np.int64)
     share = {k: totals[k] / max(1, int((y == k).sum())) for k in totals}

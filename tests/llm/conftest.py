@@ -14,6 +14,13 @@ ROWS = [
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+@pytest.fixture(scope="session", autouse=True)
+def cleaned(spark):
+    yield
+    from lodestream.llm.common import clean
+    clean(spark)
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     return spark.createDataFrame(ROWS, SCHEMA)
