@@ -18,11 +18,12 @@ empty table gives a file without blocks; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
-import uuid
 import zlib
 from itertools import chain, repeat
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import BATCH_ROWS, shared_dir, small_batches, table
+from lodestream.llm.common import own_path, small_batches, table
 
 #: (ids in a word, bits of each) by selector; selector 0 is the escape.
 SELECTORS = ((1, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6),
              (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 END_ID = 2
+#: Bytes of text that are encoded at a time, beyond which a call has the text at hand and no more.
+CALL_BYTES = 2 << 20
 _STOP = re.compile(rb"(?<=[0-9a-z])[.,](?=[\t-\r ])")
 #: Kinds of bytes: a of letters and digits (those of U+00C0 to U+027F, but for two signs, are all letters), ? of others that may not be.
 _KINDS = bytes(ord("a") if chr(b).isalnum() and b < 128 or 0x80 <= b < 0xC0 or 0xC3 <= b <= 0xC9 else ord("?") if b >= 0xC0
@@ -43,7 +46,7 @@ _KINDS = bytes(ord("a") if chr(b).isalnum() and b < 128 or 0x80 <= b < 0xC0 or 0
 #: Ids in a block, beyond which it is closed after the document at hand.
 BLOCK_IDS = 1 << 18
 #: Distinct words whose ids a worker keeps, about 170 bytes each.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 #: Ids in a group; a block has the offset of each group's first word.
 GROUP = 240
 _LIMITS = np.array([1 << b for b in range(61)], np.uint64)
@@ -63,10 +66,12 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
     bits = np.searchsorted(_LIMITS, ids, side="right") if int(ids.max()) >> 20 else _FEW_BITS[ids.astype(np.intp)]
     most = int(bits.max())
-    choice = np.zeros(n, np.uint8)  # the escape, if nothing else fits
+    # all ids fit the widest that is needed; the escape, if there is none
+    widest = max((s for s in range(1, len(SELECTORS)) if SELECTORS[s][1] >= most), default=0, key=lambda s: SELECTORS[s][0])
+    choice = np.full(n, widest, np.uint8)
     at = np.arange(n)
     limit = np.minimum((at // GROUP + 1) * GROUP, n)
-    for s in range(len(SELECTORS) - 1, 0, -1):  # what fits a selector fits those before it here
+    for s in range((widest or len(SELECTORS)) - 1, 0, -1):  # what fits a selector fits those before it here
         count, width = SELECTORS[s]
         if most > width:
             if len(at) * count < n:  # few places are left: look at their ids
@@ -79,29 +84,30 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if not len(at):
                 break
         choice[at] = s
-    group = np.arange(0, n, GROUP)
-    now, ends, starts, groups = group.copy(), np.minimum(group + GROUP, n), [], []
-    number = np.arange(len(group))
+    now = np.arange(0, n, GROUP)
+    n_groups, ends, first = len(now), np.minimum(now + GROUP, n), np.zeros(n, bool)
+    step = _COUNTS[choice]
     while len(now):
-        starts.append(now)
-        groups.append(number)
-        now = now + _COUNTS[choice[now]]
+        first[now] = True
+        now = now + step[now]
         more = now < ends
-        now, ends, number = now[more], ends[more], number[more]
-    starts, groups = np.sort(np.concatenate(starts)), np.concatenate(groups)
-    sizes = np.bincount(groups, minlength=len(group))
+        now, ends = now[more], ends[more]
+    starts = np.flatnonzero(first)
+    sizes = np.bincount(starts // GROUP, minlength=n_groups)
     chosen, last = choice[starts], np.minimum((starts // GROUP + 1) * GROUP, n)
     out = chosen.astype(np.uint64) << np.uint64(60)
     for s, (count, width) in enumerate(SELECTORS):
-        if s == 0 or width == 0:
-            continue
-        at = np.flatnonzero(chosen == s)
-        for i in range(count if len(at) else 0):
-            here = starts[at] + i
-            inside = here < last[at]
-            if not inside.all():
-                at, here = at[inside], here[inside]
-            out[at] |= ids[here] << np.uint64(i * width)
+        at = np.flatnonzero(chosen == s) if s and width else []
+        if len(at):
+            begin, room = starts[at], last[at] - starts[at]
+            packed = out[at]
+            for i in range(count):
+                if i < room.min():
+                    packed |= ids[begin + i] << np.uint64(i * width)
+                else:  # the last words of groups have room to spare
+                    some = np.flatnonzero(room > i)
+                    packed[some] |= ids[begin[some] + i] << np.uint64(i * width)
+            out[at] = packed
     escaped = np.flatnonzero(chosen == 0)
     out[escaped] |= np.arange(len(escaped), dtype=np.uint64)
     return out, np.cumsum(sizes) - sizes, ids[starts[escaped]]
@@ -134,6 +140,16 @@ def decode(words: np.ndarray, groups: np.ndarray, raw: np.ndarray, n: int) -> np
     return out
 
 
+def _byte_chars() -> dict[int, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space and letter case and never merges across white space.
 
@@ -146,11 +162,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache_words
         self.place: dict[bytes, int] = {}
+        self.calls = 0
         self.used = 0  # of flat; begin, size and uses go by place
         self.flat, self.begin, self.size, self.uses = (np.zeros(1 << 16, t) for t in (np.uint32, np.int32, np.int32, np.int32))
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _put(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         for name, more in (("flat", ids), ("begin", self.used + np.cumsum(sizes) - sizes), ("size", sizes), ("uses", np.zeros(len(words), np.int64))):
@@ -174,39 +188,36 @@ class WordTokenizer:
         return np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
 
     def _learn(self, words: list[bytes]) -> None:
-        """Words of letters alone have one end-of-word id each, so many are encoded as one text."""
+        """Words of lower-case Latin letters go to the library's model as they are, others through its whole way."""
+        tokenize, lists, ordered, others = self.tokenizer.model.tokenize, [], [], []
+        for w in words:
+            if w.isalpha() and w.islower():  # of bytes: ASCII
+                lists.append([x.id for x in tokenize(w.decode())])
+                ordered.append(w)
+                continue
+            t = w.decode()
+            if t.isalpha() and max(t) < "\u0250" and t == t.lower() and is_normalized("NFC", t):
+                lists.append([x.id for x in tokenize(w.decode("latin-1").translate(_BYTE_CHARS))])
+                ordered.append(w)
+            else:
+                others.append(w)
+        for i in range(0, len(others), 4096):
+            lists += [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in others[i:i + 4096]], add_special_tokens=False)]
+        ordered += others
         if b"\n" in words:
-            words = [w for w in words if w != b"\n"]
-            self._put([b"\n"], np.array([self.end_id], np.uint32), np.array([1], np.int64))
-        texts = [w.decode() for w in words]
-        alone = np.fromiter((w.isalpha() or t.lower().isalpha() for w, t in zip(words, texts)), bool, len(words))
-        for lettered in (True, False):
-            some = np.flatnonzero(alone == lettered).tolist()
-            for k in range(0, len(some), 1024):
-                part = some[k:k + 1024]
-                ids = None
-                if lettered:
-                    flat = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
-                    ends = np.flatnonzero(self.closes[flat]) + 1
-                    if len(ends) == len(part) and ends[-1] == len(flat):
-                        ids = flat, np.diff(ends, prepend=0)
-                if ids is None:
-                    lists = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)]
-                    ids = np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
-                self._put([words[i] for i in part], *ids)
-
-    def _words(self, text: str) -> list[bytes]:
-        data = text.encode()
+            lists[ordered.index(b"\n")] = [self.end_id]
+        self._put(ordered, np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def _words(self, data: bytes) -> list[bytes]:
         if b"<|" in data:  # special tokens keep their case
             return data.split()
         kinds = data.translate(_KINDS)
         if b"?" in kinds or b"x. " in kinds or b".. " in kinds or b"\xc3\x97" in data or b"\xc3\xb7" in data:
             return _STOP.sub(rb" \g<0>", data.lower()).split()
-        data = data.lower().replace(b". ", b" . ").replace(b", ", b" , ")
-        return data.replace(b".\n", b" .\n").replace(b",\n", b" ,\n").split()
+        return data.lower().replace(b". ", b" . ").replace(b", ", b" , ").split()
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, and how many each has, end_id counted."""
+    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (UTF-8), and how many each has, end_id counted."""
         split = [self._words(t) for t in texts]
         for ws in split:
             ws.append(b"\n")  # no text has such a word: the end id
@@ -223,7 +234,9 @@ class WordTokenizer:
                 new = {every[i] for i in missing.tolist()}
             self._learn(list(new))
             at[missing] = self._places([every[i] for i in missing.tolist()])
-        np.add.at(self.uses, at, 1)
+        self.calls += 1
+        if self.calls % 8 == 1:  # a sample of the uses tells what to forget
+            self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
         sizes = self.size[at]
         per_text = np.fromiter(map(len, split), np.int64, len(split))
         ends = np.zeros(len(at) + 1, np.int32)
@@ -239,6 +252,14 @@ _BLOCKS = ("part int, block int, ids_before long, n_ids long, doc_ids array<bigi
 
 
 def _write_blocks(batches, path: str, end_id: int):
+    gc.disable()  # millions of lists without a cycle would be walked again and again
+    try:
+        yield from _blocks_of(batches, path, end_id)
+    finally:
+        gc.enable()
+
+
+def _blocks_of(batches, path: str, end_id: int):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
@@ -259,10 +280,11 @@ def _write_blocks(batches, path: str, end_id: int):
 
     for batch in batches:
         texts, names = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-        for at in range(0, len(texts), BATCH_ROWS // 4):
-            some = [t or "" for t in texts[at:at + BATCH_ROWS // 4]]
-            ids, sizes = tokenizer.encode(some, end_id)
-            doc_ids += names[at:at + len(some)]
+        ends = np.cumsum([len(t or b"") for t in texts]) // CALL_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)] if texts else []
+        for at, to in zip(cuts, cuts[1:]):
+            ids, sizes = tokenizer.encode([t or b"" for t in texts[at:to]], end_id)
+            doc_ids += names[at:to]
             parts.append(ids)
             lengths.append(sizes)
             n = sum(map(len, parts))
@@ -273,12 +295,21 @@ def _write_blocks(batches, path: str, end_id: int):
         yield flush()
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """rows in ascending doc_id order over partitions: ranges from approximate quantiles, which read the ids alone."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [k / n for k in range(1, n)] or [0.5]
+    marks = rows.select(F.percentile_approx("doc_id", shares, 10 * n)).first()[0] or []
+    bounds = F.from_json(F.lit(str(sorted(set(marks)))), "array<bigint>")
+    part = F.size(F.filter(bounds, lambda b: b < F.col("doc_id")))
+    return rows.repartitionById(n, part).sortWithinPartitions("doc_id", "text")
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Encode docs in ascending id order and write the file at path."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(lambda b: _write_blocks(b, tokenizer, end_id), _BLOCKS).write.option("compression", "zstd").parquet(path)
+    _in_order(rows).withColumn("text", F.col("text").cast("binary")).mapInArrow(lambda b: _write_blocks(b, tokenizer, end_id), _BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
 def _read_blocks(batches, first: dict[int, int], digests: bool):
@@ -315,7 +346,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 def digests_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs written as a token file in the shared folder, and what the file then holds."""
-    path = f"{shared_dir(spark)}/lodestream/tokens-{uuid.uuid4().hex}"
+    path = own_path(spark, "tokens")
     write_tokens(docs, path, vocabulary())
     return read_tokens(spark, path, digests=True)
 

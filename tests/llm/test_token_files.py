@@ -34,7 +34,7 @@ def plain(texts):
 def test_words_encode_as_texts():
     t = tf.WordTokenizer(tf.vocabulary(), 40)
     for _ in range(2):
-        ids, sizes = t.encode(ODD, 2)
+        ids, sizes = t.encode([x.encode() for x in ODD], 2)
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == plain(ODD)
 
 
