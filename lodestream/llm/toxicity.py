@@ -188,8 +188,9 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int =
         if c >= LEAST_DOCS and r >= LEAST_RATIO and _likelihood_ratio(c, n[1], docs[0].get(w, 0), n[0]) >= LEAST_G:
             ratios[w] = float(r)
     ids: dict[bytes, int] = {}
-    flat = np.array([ids.setdefault(w, len(ids)) for ws in split for w in ws], np.int64)
     lengths = np.array([len(ws) for ws in split], np.int64)
+    flat = np.fromiter((ids.setdefault(w, len(ids)) for ws in split for w in ws), np.int32, int(lengths.sum()))
+    del split, docs
     feats = np.array([_features(w, ratios) for w in ids], np.int64).reshape(len(ids), -1)
     marked = np.array([w in ratios for w in ids], bool)
     y = marked[flat] & np.repeat(labels == 1, lengths)
