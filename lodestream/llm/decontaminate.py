@@ -9,8 +9,7 @@ within the radius agree in a whole block, and blocks are joined together with
 the window size. Candidates within the radius are verified by the exact weighted
 similarity of their shingles.
 
-Sizes up to LADDER words are exact; above, steps of 1/40, and an item's windows
-have the step at or below its own size, so there are a few hundred sizes at most.
+Every size that an item has is a window size of its own.
 Only windows that can match are fingerprinted: a window of m shingles needs at
 least SIMILARITY * m shingles of items of its size. A table of SLOTS masks, of
 the size classes that each hashed shingle occurs in, tells that; its size is
@@ -36,7 +35,6 @@ from lodestream.llm.common import small_batches, stored, table, words
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits in which a window's fingerprint may differ: at a similarity of 0.8 about ten do, with a deviation of three.
 RADIUS = 16
-LADDER = 64
 SLOT_BITS = 22
 _CLASSES = 64
 _CACHE = 300_000
@@ -84,13 +82,8 @@ def numbered(h: np.ndarray) -> np.ndarray:
 
 
 def step(n: int) -> int:
-    """The window size for an item of n words."""
-    if n <= LADDER:
-        return n
-    size = LADDER
-    while size + max(1, size // 40) <= n:
-        size += max(1, size // 40)
-    return size
+    """The window size for an item of n words: its own."""
+    return n
 
 
 def _hashed(text, cache) -> np.ndarray:
@@ -138,10 +131,9 @@ def candidate_windows(h: np.ndarray, masks: np.ndarray, sizes: np.ndarray, least
         if not len(at):
             continue
         present = np.bitwise_or.reduce(hit[at])
-        for size in sizes[np.minimum(sizes, SHINGLE) == k].tolist():
+        fit = (np.minimum(sizes, SHINGLE) == k) & ((present >> (sizes % _CLASSES).astype(np.uint64)) & np.uint64(1)).astype(bool)
+        for size in sizes[fit].tolist():
             bit = np.uint64(size % _CLASSES)
-            if not (present >> bit) & np.uint64(1):
-                continue
             m = max(1, min(size, len(h)) - k + 1)
             total = np.zeros(len(s) + 1, np.int32)
             np.cumsum((hit >> bit) & np.uint64(1), out=total[1:])
@@ -178,7 +170,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     small_batches(docs.sparkSession)
     known = items.select(F.col(item_col).cast("long").alias("i_id"), F.col(item_text_col).alias("text"))
     known = stored(known.mapInArrow(_items, "i_id long, n_words int, size int, fp long, hashes array<bigint>, shingles array<bigint>"), "items")
-    sizes = np.array(sorted(r.size for r in known.select("size").distinct().collect()), np.int64)  # steps of the ladder
+    sizes = np.array(sorted(r.size for r in known.select("size").distinct().collect()), np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(_slot_masks(known))
     rows = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("text"))
     found = stored(rows.mapInArrow(lambda b: _windows(b, shared, sizes), _WINDOWS), "windows")
@@ -206,7 +198,7 @@ def op5_decontaminate(spark, sf_dir):
 
 
 _TOKENS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
-#: The exact similarity of every window that shares a shingle with an item, without fingerprints; items of SHINGLE to LADDER words.
+#: The exact similarity of every window that shares a shingle with an item, without fingerprints; items of SHINGLE words or more.
 _OP5_SQL = f"""
 WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
 t AS (SELECT item_id, {_TOKENS} AS w FROM benchmark),

@@ -74,3 +74,17 @@ def test_blocks_guarantee_the_radius(spark):
     b = np.array([x ^ np.bitwise_xor.reduce(np.uint64(1) << f.astype(np.uint64)).view(np.int64) for x, f in zip(a, flips)])
     frame = lambda v: dc._blocks(spark.createDataFrame([(i, int(x)) for i, x in enumerate(v)], "i long, fp long"), dc.RADIUS)
     assert frame(a).join(frame(b), ["i", "block", "bits"]).select("i").distinct().count() == len(a)
+
+
+def test_windows_have_the_size_of_a_long_item(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (81, 300, 1010)]
+    # every fifth shingle and more is lost at the edits, but not at the item's ends
+    spoilt = lambda n: [f"x{k}" if n // 5 < k < 4 * n // 5 and k % (n // max(1, (n - 4) // 45)) == 0 else f"i{n}w{k}" for k in range(n)]
+    docs = [(n, " ".join(["before"] * 9 + spoilt(n) + ["after"] * 9)) for n, _ in items]
+    want = {}
+    for (n, text), (_, item) in zip(docs, items):
+        b, ws = Counter(shingles(words(item))), words(text)
+        windows = [Counter(shingles(ws[a:a + n])) for a in range(len(ws) - n + 1)]
+        want[(n, n)] = round(max(sum((b & c).values()) / sum((b | c).values()) for c in windows), 9)
+    assert min(want.values()) >= 0.8
+    assert found(spark, docs, items) == want
