@@ -41,6 +41,7 @@ END_ID = 2
 CALL_BYTES = 2 << 20
 _STOP = re.compile(rb"(?<=[0-9a-z])[.,](?=[\t-\r ])")
 #: Kinds of bytes: a of letters and digits (those of U+00C0 to U+027F, but for two signs, are all letters), ? of others that may not be.
+#: One of these letters, U+0130, has no letter alone for its lower case, so a stop after it isn't a word: _words looks for it.
 _KINDS = bytes(ord("a") if chr(b).isalnum() and b < 128 or 0x80 <= b < 0xC0 or 0xC3 <= b <= 0xC9 else ord("?") if b >= 0xC0
                else ord(" ") if b in b" \t\n\x0b\x0c\r" else ord(".") if b in b".," else ord("x") for b in range(256))
 #: Ids in a block, beyond which it is closed after the document at hand.
@@ -153,9 +154,12 @@ _BYTE_CHARS = _byte_chars()
 class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space and letter case and never merges across white space.
 
-    Each distinct word goes to the tokenizers library once. A full stop or comma
-    between a letter or digit and white space is a word, as the vocabulary's own
-    split has it. Of over cache_words words, those used least are forgotten.
+    Each distinct word goes to the tokenizers library once. Cutting at ASCII white
+    space changes no id: composition, lower case (one character at a time) and the
+    vocabulary's own split don't reach across it. A full stop or comma between a
+    letter or digit and white space is a word, as that split has it, if the
+    letter's lower case is letters alone. Of over cache_words words, those used
+    least are forgotten.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -212,7 +216,7 @@ class WordTokenizer:
         if b"<|" in data:  # special tokens keep their case
             return data.split()
         kinds = data.translate(_KINDS)
-        if b"?" in kinds or b"x. " in kinds or b".. " in kinds or b"\xc3\x97" in data or b"\xc3\xb7" in data:
+        if b"?" in kinds or b"x. " in kinds or b".. " in kinds or b"\xc3\x97" in data or b"\xc3\xb7" in data or b"\xc4\xb0" in data:
             return _STOP.sub(rb" \g<0>", data.lower()).split()
         return data.lower().replace(b". ", b" . ").replace(b", ", b" , ").split()
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import hypothesis.strategies as st
@@ -38,6 +39,32 @@ def test_words_encode_as_texts():
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == plain(ODD)
 
 
+PIECES = ["a", "word", "Straße", "İ", "ALİ", "i̇", "é", "é", "́", "Σ", "ΑΣ", "ß", "ŉ", "ǰ", "ª", "²", "½", "ﬁ", "K", "×", "÷", "…", ".", ",", "'s", "'re", "’",
+          "5", "12", "٣", "日本", "한", "-", "_", "<|", "<|endoftext|>", "|>", "x.", ".,", "\u00a0", "\u0085", "\u2003", "\u3000", "\u200b", "\x1c", "\x00", "😀", "👩‍👩", "נּ", "ा", "ก็"]
+SPACES = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "", "", ". ", ", ", ".\n", ",\t"]
+
+
+def mismatches(texts):
+    """Texts whose ids differ from those of the library, which encodes each text whole and by itself."""
+    whole, words = Tokenizer.from_file(tf.vocabulary()), tf.WordTokenizer(tf.vocabulary(), 3000)
+    ids, sizes = words.encode([t.encode() for t in texts], 2)
+    found = np.split(ids, np.cumsum(sizes)[:-1])
+    return [t for t, x in zip(texts, found) if x.tolist() != [*whole.encode(t, add_special_tokens=False).ids, 2]]
+
+
+def test_every_letter_before_a_stop():
+    texts = [f"{a}{chr(c)}{b}" for c in [*range(32, 0x600), *range(0x1E00, 0x2200)] for a, b in (("", ". x"), ("a", ", "), ("", "\t"), (".", "a. "), ("", "́. "))]
+    assert mismatches(texts) == []
+
+
+def test_fuzz():
+    rng = random.Random(5)
+    make = lambda: "".join(rng.choice(PIECES) + rng.choice(SPACES) for _ in range(rng.randrange(1, 9)))
+    texts = [make() for _ in range(100_000)]
+    bad = [t for at in range(0, len(texts), 20_000) for t in mismatches(texts[at:at + 20_000])]
+    assert bad == []
+
+
 def check(docs, got):
     rows = sorted(((r.doc_id is not None, r.doc_id, r.text is not None, r.text) for r in docs), key=lambda r: (r[0], r[1] or 0, r[2], (r[3] or "").encode()))
     start, want = 0, []
