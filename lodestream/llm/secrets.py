@@ -1,14 +1,23 @@
 """Secret scans by structural confirmation.
 
 Three base patterns (assignments, access keys, long hexadecimal runs) are
-reported as they match. Base64 and hexadecimal candidates are decoded and are
-reported only if their bytes have the structure of a key: a DER private key
-whose nested lengths all close, an OpenSSH private key container, or a signed
-token whose header is JSON with an `alg`.
+reported as they match. Beyond them a candidate is decoded and reported only if
+its bytes have the structure of a secret:
+
+- `der`, in base64 or hexadecimal anywhere in a run of such characters, wrapped
+  over lines or not: a DER element whose length tells where it ends and whose
+  nested lengths all close: PKCS#1, SEC1, DSA, PKCS#8 (with the key inside parsed
+  as its algorithm asks) or encrypted PKCS#8; or an OpenSSH container, of which
+  every nested string is parsed.
+- `pem`: an armoured block with one of these, or with an encrypted body whose
+  headers give a cipher, an initial vector and whole blocks of that cipher.
+- `token`: a signed token whose header is JSON with an `alg` other than none and
+  whose payload and non-empty signature decode.
 
 Defined cases: null and empty texts have no spans; every row is scanned whole
-and by itself, so ties, repeated rows and empty tables need no rule; other
-columns are ignored by `scan` and kept by `with_secrets`.
+and by itself, so ties, repeated rows and empty tables need no rule; a key of
+over 65,535 bytes isn't looked for; other columns are ignored by the query and
+kept by `with_secrets`, which raises if out_col is one of them.
 """
 
 from __future__ import annotations
@@ -31,12 +40,23 @@ _ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+_BREAK = r"(?:\r?\n|\\r\\n|\\n)[ \t]*"
+_PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
+_HEADERS = re.compile(r"Proc-Type: ?4,ENCRYPTED\s+DEK-Info: ?([A-Z0-9-]+),([0-9A-Fa-f]+)\s")
+_BASE64 = re.compile(rf"[A-Za-z0-9+/]{{40,}}(?:{_BREAK}[A-Za-z0-9+/]+)*")
+#: Where a DER sequence or an OpenSSH container may begin in base64.
+_BEGINS = re.compile(r"(?=M[A-P][A-Za-z0-9+/]|b3BlbnNzaC1rZXktdjE)")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----", re.ASCII)
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
-_LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
+_LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
+_HEX_BEGINS = re.compile(r"(?=30[0-9A-Fa-f]{4}|6f70656e7373682d6b65792d7631)", re.IGNORECASE)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _LONG = 40
+_MAGIC = b"openssh-key-v1\0"
+# Object identifiers in DER, and block sizes of PEM ciphers.
+_RSA, _EC, _DSA, _DH = (bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2a8648ce380401", "2a864886f70d010301"))
+_CURVES = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}
+_PBES, _PKCS12 = bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01")
+_BLOCKS = {"AES": 16, "DES": 8, "CAMELLIA": 16, "SEED": 16, "IDEA": 8, "RC2": 8, "BF": 8, "CAST5": 8}
 
 
 def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -63,32 +83,124 @@ def _members(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | Non
     return found
 
 
-def is_private_key(data: bytes) -> bool:
-    """PKCS#1, PKCS#8 or SEC1 private key in DER, or an OpenSSH private key container."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    top = _tlv(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data):
+def _integers(data: bytes, at: int, end: int, n: int) -> bool:
+    parts = _members(data, at, end)
+    return bool(parts) and len(parts) == n and all(t == 0x02 and a < b for t, a, b in parts)
+
+
+def _is_rsa(data: bytes, at: int, end: int) -> bool:
+    parts = _members(data, at, end)
+    if not parts or len(parts) < 9 or any(t != 0x02 or a == b for t, a, b in parts[:9]):
         return False
-    parts = _members(data, top[1], top[2])
-    if not parts or len(parts) < 2 or parts[0][0] != 0x02 or data[parts[0][1]:parts[0][2]] not in (b"\0", b"\1"):
+    version = data[parts[0][1]:parts[0][2]]
+    return version == b"\0" and len(parts) == 9 or version == b"\1" and len(parts) == 10 and parts[9][0] == 0x30
+
+
+def _is_ec(data: bytes, at: int, end: int) -> bool:
+    parts = _members(data, at, end)
+    if not parts or len(parts) < 2 or data[parts[0][1]:parts[0][2]] != b"\1" or parts[0][0] != 0x02:
         return False
-    tags = [p[0] for p in parts]
-    if tags[1] == 0x30:  # PKCS#8: algorithm, then the key in an octet string
-        inner = _members(data, parts[1][1], parts[1][2])
-        return bool(inner) and inner[0][0] == 0x06 and len(tags) > 2 and tags[2] == 0x04
-    if tags[1] == 0x04:  # SEC1
-        return parts[1][2] - parts[1][1] >= 16
-    return len(tags) >= 9 and set(tags[:9]) == {0x02}  # PKCS#1
+    known = all(t in (0xA0, 0xA1) and _members(data, a, b) for t, a, b in parts[2:])
+    return known and parts[1][0] == 0x04 and 16 <= parts[1][2] - parts[1][1] <= 72
+
+
+def _is_dsa(data: bytes, at: int, end: int) -> bool:
+    return _integers(data, at, end, 6) and data[at:at + 3] == b"\x02\x01\0"
+
+
+def _is_inner_key(algorithm: bytes, data: bytes, at: int, end: int) -> bool:
+    """The key in the octet string of a PKCS#8 container, as its algorithm asks."""
+    top = _tlv(data, at, end)
+    if top is None or top[2] != end:
+        return False
+    tag, a, b = top
+    if algorithm == _RSA:
+        return tag == 0x30 and _is_rsa(data, a, b)
+    if algorithm == _EC:
+        return tag == 0x30 and _is_ec(data, a, b)
+    if algorithm in (_DSA, _DH):
+        return tag == 0x02 and a < b
+    if algorithm in _CURVES:
+        return tag == 0x04 and b - a == _CURVES[algorithm]
+    # an algorithm that isn't known here: a whole element of a kind that keys have
+    return tag == 0x30 and bool(_members(data, a, b)) or tag in (0x02, 0x04) and b - a >= 16
+
+
+def _is_pkcs8(data: bytes, at: int, end: int) -> bool:
+    parts = _members(data, at, end)
+    if not parts or len(parts) < 3 or [p[0] for p in parts[:3]] != [0x02, 0x30, 0x04] or data[parts[0][1]:parts[0][2]] not in (b"\0", b"\1"):
+        return False
+    kind = _members(data, *parts[1][1:])
+    more = all(t in (0xA0, 0xA1, 0x81) for t, _, _ in parts[3:])
+    return bool(kind) and kind[0][0] == 0x06 and more and _is_inner_key(data[kind[0][1]:kind[0][2]], data, *parts[2][1:])
+
+
+def _is_encrypted(data: bytes, at: int, end: int) -> bool:
+    parts = _members(data, at, end)
+    if not parts or [p[0] for p in parts] != [0x30, 0x04] or parts[1][2] - parts[1][1] < 16:
+        return False
+    kind = _members(data, *parts[0][1:])
+    if not kind or len(kind) != 2 or kind[0][0] != 0x06 or kind[1][0] != 0x30 or not _members(data, *kind[1][1:]):
+        return False
+    return data[kind[0][1]:kind[0][2]].startswith((_PBES, _PKCS12))
+
+
+def _strings(data: bytes, at: int, n: int) -> tuple[list[bytes], int] | None:
+    """The n strings from `at` on, each after its length, and where they end."""
+    found = []
+    for _ in range(n):
+        size = int.from_bytes(data[at:at + 4], "big")
+        if at + 4 + size > len(data):
+            return None
+        found.append(data[at + 4:at + 4 + size])
+        at += 4 + size
+    return found, at
+
+
+def _openssh_end(data: bytes) -> int:
+    """Where an OpenSSH container that begins data ends; 0 if it is none."""
+    head = _strings(data, len(_MAGIC), 3) if data.startswith(_MAGIC) else None
+    if head is None or not re.fullmatch(rb"[a-z0-9@.-]+", head[0][0]) or not re.fullmatch(rb"[a-z0-9]+", head[0][1]):
+        return 0
+    (cipher, _, _), at = head
+    n = int.from_bytes(data[at:at + 4], "big")
+    body = _strings(data, at + 4, n + 1) if 1 <= n <= 16 else None
+    if body is None:
+        return 0
+    *public, private = body[0]
+    names = [_strings(p, 0, 1) for p in public]
+    if any(x is None or not re.fullmatch(rb"[a-z0-9@.-]+", x[0][0]) for x in names) or len(private) < 16 or len(private) % 8:
+        return 0
+    if cipher == b"none":
+        first = _strings(private, 8, 1)
+        if private[:4] != private[4:8] or first is None or first[0][0] != names[0][0][0]:
+            return 0
+    return body[1]
+
+
+def key_end(data: bytes) -> int:
+    """Where a private key that begins data ends; 0 if it has not the structure of one."""
+    if data.startswith(_MAGIC):
+        return _openssh_end(data)
+    top = _tlv(data, 0, len(data))
+    if top is None or top[0] != 0x30 or top[2] > 0xFFFF:
+        return 0
+    _, a, b = top
+    return b if any(f(data, a, b) for f in (_is_rsa, _is_ec, _is_dsa, _is_pkcs8, _is_encrypted)) else 0
+
+
+def is_private_key(data: bytes) -> bool:
+    """Exactly a private key in DER or in an OpenSSH container."""
+    return bool(data) and key_end(data) == len(data)
 
 
 def is_signed_token(text: str) -> bool:
-    head = text.split(".", 1)[0]
     try:
-        header = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+        header, _, signature = (base64.urlsafe_b64decode(x + "=" * (-len(x) % 4)) for x in text.split("."))
+        header = json.loads(header)
     except (ValueError, RecursionError):
         return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str)
+    return isinstance(header, dict) and isinstance(header.get("alg"), str) and header["alg"].lower() != "none" and len(signature) > 0
 
 
 def _from_base64(text: str) -> bytes:
@@ -100,6 +212,70 @@ def _from_base64(text: str) -> bytes:
         return b""
 
 
+def _pem_spans(text: str) -> list[tuple[int, int]]:
+    """Each BEGIN with the END that follows it at once, if what is between them has the structure of a key."""
+    found, begin = [], None
+    for m in _PEM.finditer(text):
+        if m[1] == "END" and begin is not None and begin[2] == m[2] and _is_armoured(text[begin.end():m.start()]):
+            found.append((begin.start(), m.end()))
+        begin = m if m[1] == "BEGIN" else None
+    return found
+
+
+def _is_armoured(body: str) -> bool:
+    body = body.replace("\\r", "").replace("\\n", "\n")
+    headers = _HEADERS.match(body.lstrip())
+    if headers is None:
+        return re.fullmatch(r"[A-Za-z0-9+/=\s]+", body, re.ASCII) is not None and is_private_key(_from_base64(body))
+    block = _BLOCKS.get(headers[1].split("-")[0])
+    data = _from_base64(body.lstrip()[headers.end():])
+    return block is not None and len(headers[2]) == 2 * block and len(data) >= 2 * block and len(data) % block == 0
+
+
+def _key_spans(text: str, run, begins, decode, per_byte: float) -> list[tuple[int, int]]:
+    """Keys in the runs of encoded characters; a length in the first bytes tells how many belong to one."""
+    found = []
+    for m in run.finditer(text):
+        body, place = m[0], None
+        if not body.isalnum() and (m[0].find("\n") >= 0 or "\\" in body):  # over several lines: places of the characters that count
+            gone = [(x.start(), x.end()) for x in re.finditer(_BREAK, body)]
+            place, at = [], 0
+            for a, b in [*gone, (len(body), len(body))]:
+                place += range(at, a)
+                at = b
+            body = "".join(body[i] for i in place)
+        done = 0
+        for x in begins.finditer(body):
+            at = x.start()
+            if at < done:
+                continue
+            head = decode(body[at:at + 40])
+            if head[:1] == b"0":
+                top = _tlv(head + bytes(70_000), 0, 70_000)
+                # all that is looked for goes on with an integer of one byte or a sequence
+                if top is None or top[2] > 0xFFFF or head[top[1]:top[1] + 2] != b"\x02\x01" and head[top[1]:top[1] + 1] != b"0":
+                    continue
+                size = top[2]
+            elif head.startswith(_MAGIC):
+                size = 1 << 16
+            else:
+                continue
+            end = key_end(decode(body[at:at + -int(-size * per_byte // 1)])[:size])
+            if not end:
+                continue
+            done = at + -int(-end * per_byte // 1)
+            start, last = (at, done - 1) if place is None else (place[at], place[done - 1])
+            stop = m.start() + last + 1
+            if decode is _from_base64:  # what fills the last group
+                stop += min(-(done - at) % 4, len(text[stop:stop + 2]) - len(text[stop:stop + 2].lstrip("=")))
+            found.append((m.start() + start, stop))
+    return found
+
+
+def _from_hex(text: str) -> bytes:
+    return bytes.fromhex(text[:len(text) // 2 * 2])
+
+
 def spans_of(text: str) -> list[tuple[int, int, int]]:
     """(start, index in KINDS, end) of every secret, sorted; code points, end exclusive."""
     found = []
@@ -109,13 +285,11 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    pem = [m for m in _PEM.finditer(text) if is_private_key(_from_base64(m[2]))] if "-----BEGIN " in text else []
-    found += [(m.start(), 3, m.end()) for m in pem]
+    armoured = _pem_spans(text) if "-----BEGIN " in text else []
+    found += [(a, 3, b) for a, b in armoured]
     if max(map(len, text.split()), default=0) >= _LONG:
-        inside = [(m.start(), m.end()) for m in pem]
-        for pattern, decode in ((_BASE64, _from_base64), (_LONG_HEX, lambda s: bytes.fromhex(s))):
-            found += [(m.start(), 4, m.end()) for m in pattern.finditer(text)
-                      if not any(a <= m.start() < b for a, b in inside) and is_private_key(decode(m[0]))]
+        keys = _key_spans(text, _BASE64, _BEGINS, _from_base64, 4 / 3) + _key_spans(text, _LONG_HEX, _HEX_BEGINS, _from_hex, 2.0)
+        found += [(a, 4, b) for a, b in keys if not any(x <= a < y for x, y in armoured)]
     if "eyJ" in text:
         found += [(m.start(), 5, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     return sorted(set(found))
@@ -127,6 +301,8 @@ def _scan(texts: pd.Series) -> pd.Series:
 
 def with_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
     """docs with out_col: array of (kind, start, end), by start and then kind."""
+    if out_col in docs.columns:
+        raise ValueError(f"there is a column {out_col} already")
     small_batches(docs.sparkSession)
     scan = F.pandas_udf(_scan, "array<struct<kind:string,start:long,end:long>>")
     return docs.withColumn(out_col, scan(F.coalesce(F.col(text_col), F.lit(""))))
