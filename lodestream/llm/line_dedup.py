@@ -1,30 +1,38 @@
-"""Line deduplication by winnowing over line hashes.
-
-Documents are sequences of lines (those without words are left out), each with
-its hash and its number of words. A window is a shortest run of lines with at
-least MIN_WORDS words, from each line on and up to each line. Winnowing selects
-from each window the line of least hash (the last of equals): any two equal runs
-of MIN_WORDS words or more contain equal windows, which select the same line, so
-a shared run is guaranteed to share a fingerprint. Fingerprints found at one
-place only go first. The places that share one are extended both ways to their
-windows, equal windows are matched by hash, and of each match all but the first
-place, in order of document id and line, are deleted. The windows of a line lie
-before and behind it, so that together they cover a repeated run to both its
-ends.
-
-Nothing is paired: a fingerprint or window that a third of all documents share
-gives one first place by a min aggregation, and the other places are those of an
-anti join on the document's key.
-
-Defined cases: a null or empty text has no lines and stays as it is; a null id
+"""Line deduplication by winnowing: equal runs of lines, and equal runs of words inside lines.
+
+A word is deleted if it lies in
+- a run of whole lines with at least MIN_WORDS words, or
+- a run of RUN_WORDS words, wherever it begins and whatever white space it has,
+that stands at an earlier place too: in order of document id, then position. A
+run of words and its earlier place don't overlap.
+
+Winnowing over line hashes selects from each window (a shortest run of lines
+with MIN_WORDS words, from each line on and up to each line) the line of least
+hash, the last of equals. Lines can be of any length, so the same is done on
+words: their hashed runs of GRAM words are the units, a window has RUN_WORDS
+words, and the least hash in it is its fingerprint. Equal windows select the
+same fingerprint, so every repeated run shares one with its earlier place.
+Fingerprints found at one place only go first. Then positions are joined: a
+fingerprint's places carry the stretch of text over which it is the least, and
+its hash. Places of equal stretches repeat the first of them as a whole. Where
+a fingerprint has several stretches, one place of each is extended both ways:
+every window that the fingerprint was selected from is looked up among the same
+fingerprint's others, so a match ends at the very word where the texts part.
+Texts are equal here if two 64-bit hashes are, the fingerprint's and the run's.
+
+Nothing is paired: a fingerprint that a third of all documents share gives one
+first place for each stretch by a min aggregation.
+
+Defined cases: a null or empty text has no words and stays as it is; a null id
 sorts first; rows with equal id and text are one document and all are treated
 as it is; texts with equal ids are ordered by their hash; an empty table gives
-no rows; other columns are kept by `dedup_lines`, where names that begin with
-ld_ are taken.
+no rows; other columns are kept by `dedup_lines` whatever their names, but that one called
+removed_col is replaced.
 """
 
 from __future__ import annotations
 
+import re
 
 import numpy as np
 import pandas as pd
@@ -35,27 +43,74 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.common import small_batches, stored, table
 
-#: A repeated run has at least so many words.
-MIN_WORDS = 12
-_STRIP = "\t\n\x0b\x0c\r "
-_MARKS = "ld_id long, ld_hash long, ld_fp long, ld_window long, ld_at int, ld_first int, ld_last int"
-_PLACE = ("ld_id", "ld_hash", "ld_first", "ld_last")
-
-
-def lines_of(text: str) -> list[str]:
-    return text.split("\n")
-
-
-def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the lines that hold words, their hashes and their word counts."""
-    at, hashes, counts = [], [], []
-    for i, line in enumerate(lines_of(text)):
-        data = line.strip(_STRIP).encode("utf-8", "surrogatepass")
-        if data:
-            at.append(i)
-            hashes.append(xxhash.xxh64_intdigest(data))
-            counts.append(len(data.split()))
-    return np.array(at, np.int64), np.array(hashes, np.uint64), np.array(counts, np.int64)
+#: Least words of a repeated run of lines, and of a repeated run of words.
+MIN_WORDS, RUN_WORDS = 12, 50
+#: Words whose hash is a unit of winnowing.
+GRAM = 12
+#: Slots of the table that tells which documents have no place worth a look; its size is fixed.
+SLOTS = 1 << 20
+_STRIP = b"\t\n\x0b\x0c\r "
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_MARKS = "ld_id long, ld_hash long, ld_lines boolean, ld_fp long, ld_run long, ld_at int, ld_first int, ld_last int"
+_CALL_BYTES = 2 << 20
+_CACHE = 300_000
+_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+class _Hashes(dict):
+    def __missing__(self, word):
+        v = self[word] = xxhash.xxh64_intdigest(word)
+        return v
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class _Runs:
+    """Hashes of runs of a sequence of word hashes."""
+
+    def __init__(self, hashes: np.ndarray, base: int):
+        n = len(hashes)
+        powers = lambda b: np.cumprod(np.append(np.uint64(1), np.full(n, b, np.uint64)))
+        self.back = powers(pow(base, -1, 1 << 64))
+        self.sums = np.append(np.uint64(0), np.cumsum(hashes * powers(base)[:n]))
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[end] - self.sums[begin]) * self.back[begin] + (end - begin).astype(np.uint64))
+
+
+def least_of(values: np.ndarray, width: int) -> np.ndarray:
+    """Of each window of so many values the place of the least, the last of equals."""
+    at, best, have = np.arange(len(values)), values, 1
+    while have < width:
+        step = min(have, width - have)
+        left, right = slice(0, max(0, len(best) - step)), slice(step, None)
+        take = best[right] <= best[left]
+        at, best = np.where(take, at[right], at[left]), np.where(take, best[right], best[left])
+        have += step
+    return at
+
+
+def word_marks(hashes: np.ndarray, doc: np.ndarray, run: int = RUN_WORDS, gram: int = GRAM):
+    """(fingerprint, hash of the stretch, place, stretch's first and end) of the words of several texts; doc: number of each word's text."""
+    gram = min(gram, run)
+    n = len(hashes) - run + 1
+    if n < 1:
+        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 3
+    grams = _Runs(hashes, _BASE)
+    start = np.arange(len(hashes) - gram + 1)
+    fp = grams.of(start, start + gram)
+    at = least_of(fp, run - gram + 1)
+    whole = np.flatnonzero(doc[:n] == doc[run - 1:])  # windows within one text
+    chosen = at[whole]
+    new = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (whole[1:] != whole[:-1] + 1))[:len(chosen)])
+    place, first = chosen[new], whole[new]
+    end = whole[np.append(new[1:], len(whole))[:len(new)] - 1] + run
+    stretch = _Runs(hashes, _OTHER).of(first, end)
+    return fp[place], _mixed(stretch + (place - first).astype(np.uint64)), place, first, end
 
 
 def windows(counts: np.ndarray, min_words: int) -> list[tuple[int, int]]:
@@ -68,83 +123,191 @@ def windows(counts: np.ndarray, min_words: int) -> list[tuple[int, int]]:
     return sorted(found | {(int(i), j) for j, i in enumerate(first) if i >= 0})
 
 
-def marks_of(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int, int]]:
-    """(fingerprint, window hash, its line, first line, last line) of each window; lines by number in the text."""
-    at, hashes, counts = line_hashes(text)
-    found = []
-    for i, j in windows(counts, min_words):
-        k = j if i == j else j - int(np.argmin(hashes[i:j + 1][::-1]))
-        found.append((int(hashes[k]), xxhash.xxh64_intdigest(hashes[i:j + 1].astype("<u8").tobytes(), k - i), int(at[k]), int(at[i]), int(at[j])))
+def line_marks(hashes: list[int], counts: list[int], min_words: int) -> list[tuple[int, int, int, int, int]]:
+    """(fingerprint, hash of the window, first word of its line, first word of the window and the word after it) of each window of lines."""
+    begin = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    if len(hashes) and min(counts) >= min_words:  # every line is a window
+        return [(h, xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 1), begin[i], begin[i], begin[i + 1]) for i, h in enumerate(hashes)]
+    found, lines = [], np.array(hashes, "<u8")
+    for i, j in windows(np.array(counts, np.int64), min_words):
+        k = j if i == j else j - int(np.argmin(lines[i:j + 1][::-1]))
+        found.append((hashes[k], xxhash.xxh64_intdigest(lines[i:j + 1].tobytes(), 1 + k - i), begin[k], begin[i], begin[j + 1]))
     return found
 
 
-def _emit(batches, min_words):
+def _lines_of(data: bytes) -> tuple[list[bytes], list[int], list[int]]:
+    """All words; of the lines that hold some their hashes and numbers of words."""
+    words, hashes, counts = [], [], []
+    for line in data.split(b"\n"):
+        ws = line.split()
+        if ws:
+            words += ws
+            hashes.append(xxhash.xxh64_intdigest(line.strip(_STRIP)))
+            counts.append(len(ws))
+    return words, hashes, counts
+
+
+def _word_hashes(words: list[bytes], cache: _Hashes) -> np.ndarray:
+    if len(cache) > _CACHE:
+        cache.clear()
+    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+
+
+def marks_of(texts: list[str | None], min_words: int, run_words: int, cache: _Hashes):
+    """(text's number, of lines, fingerprint, run hash, place, first, end), as arrays."""
+    every, sizes, rows = [], [], []
+    for i, t in enumerate(texts):
+        words, hashes, counts = _lines_of((t or "").encode("utf-8", "surrogatepass"))
+        every += words
+        sizes.append(len(words))
+        if hashes and len(words) >= min_words:
+            rows += [(i, *m) for m in line_marks(hashes, counts, min_words)]
+    sizes = np.array(sizes, np.int64)
+    doc, begin = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    fp, run, place, first, end = word_marks(_word_hashes(every, cache), doc, run_words)
+    of = doc[first]
+    lines = list(zip(*rows)) or [[]] * 6
+    unsigned = lambda c: np.array(c, np.uint64)
+    joined = lambda a, b: np.concatenate([np.array(a, np.int64), b])
+    return (joined(lines[0], of), np.arange(len(rows) + len(of)) < len(rows), np.concatenate([unsigned(lines[1]), fp]), np.concatenate([unsigned(lines[2]), run]),
+            joined(lines[3], place - begin[of]), joined(lines[4], first - begin[of]), joined(lines[5], end - begin[of]))
+
+
+def _pieces(batches):
+    """Batches of a bounded number of bytes, but for single long texts."""
     for batch in batches:
-        ids, keys, texts = (batch.column(c).to_pylist() for c in ("ld_id", "ld_hash", "ld_text"))
-        rows = [(i, k, *m) for i, k, t in zip(ids, keys, texts) if t for m in marks_of(t, min_words)]
-        columns = list(zip(*rows)) or [[]] * 7
-        signed = lambda c: pa.array(np.array(c, np.uint64).view(np.int64))
+        sizes = [len(t or "") for t in batch.column("ld_text").to_pylist()]
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // _CALL_BYTES, prepend=-1)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(sizes)]):
+            yield batch.slice(a, b - a)
+
+
+def _emit(batches, min_words, run_words):
+    cache = _Hashes()
+    for batch in _pieces(batches):
+        of, lines, fp, run, at, first, end = marks_of(batch.column("ld_text").to_pylist(), min_words, run_words, cache)
+        take = pa.array(of)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), signed(columns[2]), signed(columns[3]),
-             *(pa.array(c, pa.int32()) for c in columns[4:])],
-            names=["ld_id", "ld_hash", "ld_fp", "ld_window", "ld_at", "ld_first", "ld_last"])
+            [batch.column("ld_id").take(take), batch.column("ld_hash").take(take), pa.array(lines), pa.array(fp.view(np.int64)), pa.array(run.view(np.int64)),
+             *(pa.array(x.astype(np.int32)) for x in (at, first, end))],
+            names=["ld_id", "ld_hash", "ld_lines", "ld_fp", "ld_run", "ld_at", "ld_first", "ld_last"])
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(ld_id, ld_hash, ld_first, ld_last): windows of each document that occur at an earlier place."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("ld_id"), F.xxhash64(text_col).alias("ld_hash"), F.col(text_col).alias("ld_text"))
-    marks = stored(rows.mapInArrow(lambda b: _emit(b, min_words), _MARKS), "line-marks")
-    place = F.struct("ld_id", "ld_hash", "ld_at")
-    lone = marks.groupBy("ld_fp").agg(F.min(place).alias("p"), F.max(place).alias("q")).where(F.col("p").eqNullSafe(F.col("q"))).select("p.*")
-    shared = _without(marks, lone, ("ld_id", "ld_hash", "ld_at"))
-    where = F.struct(*_PLACE)
-    first = shared.groupBy("ld_fp", "ld_window").agg(F.min(where).alias("p")).select("p.*", "ld_window")
-    return _without(shared, first, (*_PLACE, "ld_window")).select(*_PLACE)
-
-
-def _without(df: DataFrame, gone: DataFrame, by) -> DataFrame:
-    """Rows of df whose `by` columns aren't in gone; the first may be null."""
-    gone = gone.select(*(F.col(c).alias(f"{c}_gone") for c in by))
-    same = F.col(by[0]).eqNullSafe(F.col(f"{by[0]}_gone"))
-    for c in by[1:]:
-        same = same & (F.col(c) == F.col(f"{c}_gone"))
-    return df.join(gone, same, "left_anti")
-
-
-def keep_lines(text: str, runs) -> tuple[str, int]:
-    """The text without the lines of runs that hold words, and how many those are."""
-    lines = lines_of(text)
-    gone = np.zeros(len(lines), bool)
+def _emit_windows(batches, run_words):
+    """Every window that a wanted fingerprint was selected from: (id, hash, fingerprint, window hash, first word)."""
+    cache = _Hashes()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            text, wanted = batch.column("ld_text")[i].as_py(), batch.column("ld_wanted")[i].as_py()
+            runs = _Runs(_word_hashes(text.encode("utf-8", "surrogatepass").split(), cache), _OTHER)
+            first, end, fp = (np.array([w[k] for w in wanted], np.int64) for k in ("first", "last", "fp"))
+            n = end - first - run_words + 1
+            start = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            one = lambda c: batch.column(c).take(pa.array(np.full(len(start), i)))
+            yield pa.RecordBatch.from_arrays(
+                [one("ld_id"), one("ld_hash"), pa.array(np.repeat(fp, n)), pa.array(runs.of(start, start + run_words).view(np.int64)), pa.array(start.astype(np.int32))],
+                names=["ld_id", "ld_hash", "ld_fp", "ld_run", "ld_first"])
+
+
+def _slot():
+    return F.pmod(F.xxhash64("ld_id", "ld_hash"), F.lit(SLOTS))
+
+
+def _split(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs that may have one of the keys (ld_id, ld_hash), and docs that have none; SLOTS numbers are broadcast at most."""
+    slots = F.broadcast(stored(keys.select(_slot().alias("ld_slot")).distinct(), "line-slots"))
+    marked = docs.withColumn("ld_slot", _slot())
+    return marked.join(slots, "ld_slot", "left_semi").drop("ld_slot"), marked.join(slots, "ld_slot", "left_anti").drop("ld_slot")
+
+
+def _of_document(keys: DataFrame):
+    """Condition that a document's ld_id, ld_hash are those of keys, there named ld_of_id, ld_of_hash."""
+    return F.col("ld_id").eqNullSafe(F.col("ld_of_id")) & (F.col("ld_hash") == F.col("ld_of_hash"))
+
+
+def _renamed(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("ld_id", "ld_of_id").withColumnRenamed("ld_hash", "ld_of_hash")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """(ld_id, ld_hash, ld_first, ld_last): runs of words that stand at an earlier place, end exclusive. docs: ld_id, ld_hash, ld_text."""
+    marks = stored(docs.mapInArrow(lambda b: _emit(b, min_words, run_words), _MARKS), "line-marks")
+    # all sides grow with the corpus: always merged, never broadcast
+    often = marks.groupBy("ld_fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ld_fp")
+    shared = stored(marks.join(often.hint("merge"), "ld_fp"), "line-shared")
+    place = F.struct("ld_id", "ld_hash", "ld_first", "ld_last", "ld_at")
+    runs = stored(shared.groupBy("ld_fp", "ld_run").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")), "line-runs")
+    several = runs.groupBy("ld_fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("ld_fp")
+
+    here = (F.col("ld_id").eqNullSafe(F.col("p.ld_id")) & (F.col("ld_hash") == F.col("p.ld_hash")))
+    again = ~here | F.when(F.col("ld_lines"), F.col("ld_first") > F.col("p.ld_first")).otherwise(F.col("ld_first") - F.col("p.ld_first") >= run_words)
+    seen = shared.join(runs.where("n > 1").select("ld_fp", "ld_run", "p").hint("merge"), ["ld_fp", "ld_run"]).withColumn("ld_again", again)
+    whole = seen.where("ld_again").select("ld_id", "ld_hash", "ld_first", "ld_last")
+
+    # the first place of each stretch, and those that overlap it, of fingerprints with several stretches
+    firsts = runs.where("n = 1").select("ld_fp", "p.*").unionByName(seen.where("not ld_again").select("ld_fp", "ld_id", "ld_hash", "ld_first", "ld_last", "ld_at")).distinct()
+    wanted = stored(firsts.where(F.col("ld_last") - F.col("ld_first") >= run_words).join(several.hint("merge"), "ld_fp")
+                    .groupBy("ld_id", "ld_hash").agg(F.collect_list(F.struct(F.col("ld_fp").alias("fp"), F.col("ld_first").alias("first"), F.col("ld_last").alias("last"))).alias("ld_wanted")), "line-wanted")
+    some, _ = _split(docs, wanted)
+    held = some.join(_renamed(wanted).hint("merge"), _of_document(wanted)).dropDuplicates(["ld_id", "ld_hash"]).select("ld_id", "ld_hash", "ld_text", "ld_wanted")
+    found = stored(held.mapInArrow(lambda b: _emit_windows(b, run_words), "ld_id long, ld_hash long, ld_fp long, ld_run long, ld_first int"), "line-windows")
+    first = found.groupBy("ld_fp", "ld_run").agg(F.min(F.struct("ld_id", "ld_hash", "ld_first")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = found.join(first.hint("merge"), ["ld_fp", "ld_run"]).where(~here | (F.col("ld_first") - F.col("p.ld_first") >= run_words))
+    return whole.unionByName(later.select("ld_id", "ld_hash", "ld_first", (F.col("ld_first") + run_words).alias("ld_last")))
+
+
+def keep_words(text: str, runs) -> tuple[str, int]:
+    """The text without the words of runs and the white space after them (a line break stays), and how many words those are."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    edge = np.zeros(len(spans) + 1, np.int64)
     for r in runs:
-        gone[r["first"]:r["last"] + 1] = True
-    stay = [x for x, g in zip(lines, gone) if not (g and x.strip(_STRIP))]
-    return "\n".join(stay), len(lines) - len(stay)
+        edge[r["first"]] += 1
+        edge[r["last"]] -= 1
+    gone = np.cumsum(edge[:-1]) > 0
+    if not gone.any():
+        return text, 0
+    turns = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
+    out, done = [], 0
+    for a, b in zip(turns[::2], turns[1::2]):
+        before = text[done:spans[a][0]]
+        done = spans[b][0] if b < len(spans) else len(text)
+        ends_line = "\n" in text[spans[b - 1][1]:done]
+        out.append(before + ("\n" if ends_line and before and not before.endswith("\n") else ""))
+    return "".join(out) + text[done:], int(gone.sum())
 
 
 def _cleaned(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
-    kept = [(t, 0) if t is None or r is None or not len(r) else keep_lines(t, r) for t, r in zip(texts, runs)]
+    kept = [(t, 0) if t is None or r is None or not len(r) else keep_words(t, r) for t, r in zip(texts, runs)]
     return pd.DataFrame(kept, columns=["text", "removed"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, removed_col: str = "n_removed") -> DataFrame:
-    """docs with later repeated runs of lines deleted from text_col, and removed_col, how many lines went."""
-    runs = repeated_windows(docs, id_col, text_col, min_words)
-    runs = runs.groupBy("ld_id", "ld_hash").agg(F.collect_set(F.struct(F.col("ld_first").alias("first"), F.col("ld_last").alias("last"))).alias("ld_runs"))
-    keyed = docs.withColumn("ld_of", F.xxhash64(text_col))
-    joined = keyed.join(runs, F.col(id_col).eqNullSafe(F.col("ld_id")) & (F.col("ld_of") == F.col("ld_hash")), "left")
-    cleaned = F.pandas_udf(_cleaned, "text string, removed long")
-    joined = joined.withColumn("ld_out", cleaned(F.col(text_col), F.col("ld_runs")))
-    return joined.select(*(F.col("ld_out.text").alias(c) if c == text_col else F.col(c) for c in docs.columns), F.col("ld_out.removed").alias(removed_col))
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, run_words: int = RUN_WORDS, removed_col: str = "n_removed") -> DataFrame:
+    """docs with later repeated runs deleted from text_col, and removed_col, how many words went (in place of a column of that name)."""
+    small_batches(docs.sparkSession)
+    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("ld_row")  # the caller's names stay out of the way
+    keyed = docs.select(docs[f"`{id_col}`"].cast("long").alias("ld_id"), F.xxhash64(docs[f"`{text_col}`"]).alias("ld_hash"), docs[f"`{text_col}`"].alias("ld_text"), whole)
+    runs = repeated_runs(keyed.drop("ld_row"), min_words, run_words)
+    runs = stored(runs.groupBy("ld_id", "ld_hash").agg(F.collect_set(F.struct(F.col("ld_first").alias("first"), F.col("ld_last").alias("last"))).alias("ld_gone")), "line-gone")
+    some, clean = _split(keyed.drop("ld_text"), runs)
+    joined = some.join(_renamed(runs).hint("merge"), _of_document(runs), "left")
+    joined = joined.withColumn("ld_out", F.pandas_udf(_cleaned, "text string, removed long")(F.col("ld_row")[text_col], F.col("ld_gone")))
+    kept = [c for c in docs.columns if c != removed_col]
+    cleaned = joined.select(*(F.col("ld_out.text").alias(c) if c == text_col else F.col("ld_row")[c].alias(c) for c in kept), F.col("ld_out.removed").alias(removed_col))
+    return cleaned.unionByName(clean.select(*(F.col("ld_row")[c].alias(c) for c in kept), F.lit(0).cast("long").alias(removed_col)))
+
+
+def _words_in(text: str):
+    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t-\r]+"), lambda w: w != "")
 
 
 def op4_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = dedup_lines(docs.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long")))
-    return found.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+    found = dedup_lines(docs)
+    kept = _words_in("text")
+    return found.select("doc_id", (F.size(kept) + F.col("n_removed")).cast("long").alias("n_words"), "n_removed", F.md5(F.array_join(kept, " ")).alias("kept_md5"))
 
 
-#: The same rule without winnowing: every window of at least MIN_WORDS words, by its lines.
+#: The same rule without winnowing: every window of lines, by its lines, and every window of words, by its words.
 _OP4_SQL = rf"""
 WITH raw AS (
   SELECT doc_id, i AS line_no, list_extract(string_split(text, chr(10)), i::BIGINT) AS line
@@ -160,16 +323,25 @@ ends AS (
   UNION
   SELECT b.doc_id, max(a.k) AS f, b.k AS t FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.w >= {MIN_WORDS} GROUP BY ALL),
 win AS (
-  SELECT e.doc_id, f, t, string_agg(line, chr(10) ORDER BY k) AS content
+  SELECT e.doc_id, f, t, string_agg(line, chr(10) ORDER BY k) AS content, min(upto - w) AS a, max(upto) AS b
   FROM ends e JOIN l ON l.doc_id = e.doc_id AND l.k BETWEEN f AND t GROUP BY ALL),
 later AS (
-  SELECT doc_id, f, t FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, f, t) AS n FROM win) WHERE n > 1),
-gone AS (SELECT DISTINCT l.doc_id, l.line_no FROM l JOIN later x ON l.doc_id = x.doc_id AND l.k BETWEEN x.f AND x.t),
+  SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, f, t) AS n FROM win) WHERE n > 1),
+ws AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + {RUN_WORDS - 1}], ' ')) AS content
+  FROM ws, generate_series(1, len(w) - {RUN_WORDS - 1}) AS g(i)),
+placed AS (SELECT doc_id, i, first_value(doc_id) OVER x AS d, first_value(i) OVER x AS s FROM runs WINDOW x AS (PARTITION BY content ORDER BY doc_id, i)),
+spans AS (
+  SELECT doc_id, a AS f, b AS t FROM later
+  UNION ALL SELECT doc_id, i - 1, i + {RUN_WORDS - 1} FROM placed WHERE d <> doc_id OR i - s >= {RUN_WORDS}),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(f::BIGINT, t::BIGINT - 1)) AS k FROM spans),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS k FROM ws),
 kept AS (
-  SELECT r.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed,
-    coalesce(string_agg(CASE WHEN g.line_no IS NULL THEN r.line END, chr(10) ORDER BY r.line_no), '') AS kept
-  FROM raw r LEFT JOIN gone g ON r.doc_id = g.doc_id AND r.line_no = g.line_no GROUP BY r.doc_id)
-SELECT doc_id, n_lines, n_removed, md5(kept) AS kept_md5 FROM kept
+  SELECT x.doc_id, count(*) AS n_words, count(g.k) AS n_removed, coalesce(string_agg(CASE WHEN g.k IS NULL THEN word END, ' ' ORDER BY x.k), '') AS kept
+  FROM words x LEFT JOIN gone g ON x.doc_id = g.doc_id AND x.k = g.k GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, md5(coalesce(kept, '')) AS kept_md5
+FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES = {"op4_line_dedup": op4_line_dedup}
