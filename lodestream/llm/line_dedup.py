@@ -32,12 +32,12 @@ removed_col is replaced.
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,18 +49,11 @@ MIN_WORDS, RUN_WORDS = 12, 50
 GRAM = 12
 #: Slots of the table that tells which documents have no place worth a look; its size is fixed.
 SLOTS = 1 << 20
-_STRIP = b"\t\n\x0b\x0c\r "
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MARKS = "ld_id long, ld_hash long, ld_lines boolean, ld_fp long, ld_run long, ld_at int, ld_first int, ld_last int"
-_CALL_BYTES = 2 << 20
-_CACHE = 300_000
-_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-
-
-class _Hashes(dict):
-    def __missing__(self, word):
-        v = self[word] = xxhash.xxh64_intdigest(word)
-        return v
+_CALL_BYTES = 1 << 20
+_BASE, _OTHER, _BYTES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -69,19 +62,57 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... modulo 2 ** 64, n of them or more."""
+    if len(_POWERS.get(base, ())) < n:
+        _POWERS[base] = np.cumprod(np.append(np.uint64(1), np.full(n + n // 4, base, np.uint64)))
+    return _POWERS[base]
+
+
 class _Runs:
-    """Hashes of runs of a sequence of word hashes."""
+    """Hashes of runs of a sequence of hashes."""
 
     def __init__(self, hashes: np.ndarray, base: int):
         n = len(hashes)
-        powers = lambda b: np.cumprod(np.append(np.uint64(1), np.full(n, b, np.uint64)))
-        self.back = powers(pow(base, -1, 1 << 64))
-        self.sums = np.append(np.uint64(0), np.cumsum(hashes * powers(base)[:n]))
+        self.back = _powers(pow(base, -1, 1 << 64), n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(hashes * _powers(base, n)[:n], out=self.sums[1:])
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[begin]) * self.back[begin] + (end - begin).astype(np.uint64))
 
 
+@dataclass
+class Words:
+    """All words of several texts, one after the other."""
+    doc: np.ndarray  # number of each word's text
+    begin: np.ndarray  # first byte of each word, of all bytes
+    end: np.ndarray
+    hashes: np.ndarray
+    lines: np.ndarray  # first word of each line that holds some, and the number of words at last
+    line_hashes: np.ndarray
+    first: np.ndarray  # first word of each text
+
+
+def words_of(texts: list[bytes]) -> Words:
+    data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    text_at = np.cumsum(sizes) - sizes + 1
+    blank = _SPACE[data]
+    begin, end = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1, np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    runs = _Runs(data.astype(np.uint64) + np.uint64(1), _BYTES)
+    first = np.searchsorted(begin, text_at)
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(begin))))
+    line = np.cumsum(data == 10, dtype=np.int32)[begin]
+    lines = np.flatnonzero(np.append(True, line[1:] != line[:-1])[:len(line)])
+    last = np.append(lines[1:], len(begin))[:len(lines)] - 1
+    return Words(doc, begin, end, runs.of(begin, end), np.append(lines, len(begin)), runs.of(begin[lines], end[last]),
+                 first)
+
+
 def least_of(values: np.ndarray, width: int) -> np.ndarray:
     """Of each window of so many values the place of the least, the last of equals."""
     at, best, have = np.arange(len(values)), values, 1
@@ -113,79 +144,55 @@ def word_marks(hashes: np.ndarray, doc: np.ndarray, run: int = RUN_WORDS, gram:
     return fp[place], _mixed(stretch + (place - first).astype(np.uint64)), place, first, end
 
 
-def windows(counts: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """(first, last) of the shortest runs of min_words words from each line on and up to each line."""
-    total = np.concatenate([[0], np.cumsum(counts)])
-    n = len(counts)
-    last = np.searchsorted(total, total[:-1] + min_words, side="left") - 1
-    first = np.searchsorted(total, total[1:] - min_words, side="right") - 1
-    found = {(i, int(j)) for i, j in enumerate(last) if j < n}
-    return sorted(found | {(int(i), j) for j, i in enumerate(first) if i >= 0})
-
-
-def line_marks(hashes: list[int], counts: list[int], min_words: int) -> list[tuple[int, int, int, int, int]]:
-    """(fingerprint, hash of the window, first word of its line, first word of the window and the word after it) of each window of lines."""
-    begin = np.concatenate([[0], np.cumsum(counts)]).tolist()
-    if len(hashes) and min(counts) >= min_words:  # every line is a window
-        return [(h, xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 1), begin[i], begin[i], begin[i + 1]) for i, h in enumerate(hashes)]
-    found, lines = [], np.array(hashes, "<u8")
-    for i, j in windows(np.array(counts, np.int64), min_words):
-        k = j if i == j else j - int(np.argmin(lines[i:j + 1][::-1]))
-        found.append((hashes[k], xxhash.xxh64_intdigest(lines[i:j + 1].tobytes(), 1 + k - i), begin[k], begin[i], begin[j + 1]))
-    return found
-
-
-def _lines_of(data: bytes) -> tuple[list[bytes], list[int], list[int]]:
-    """All words; of the lines that hold some their hashes and numbers of words."""
-    words, hashes, counts = [], [], []
-    for line in data.split(b"\n"):
-        ws = line.split()
-        if ws:
-            words += ws
-            hashes.append(xxhash.xxh64_intdigest(line.strip(_STRIP)))
-            counts.append(len(ws))
-    return words, hashes, counts
-
-
-def _word_hashes(words: list[bytes], cache: _Hashes) -> np.ndarray:
-    if len(cache) > _CACHE:
-        cache.clear()
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-
-
-def marks_of(texts: list[str | None], min_words: int, run_words: int, cache: _Hashes):
+def line_marks(hashes: np.ndarray, begin: np.ndarray, doc: np.ndarray, min_words: int):
+    """(fingerprint, hash of the window, its place, first and last line) of each window of lines.
+
+    begin: first word of each line, and the end; doc: number of each line's text.
+    Windows are the shortest runs of min_words words from each line on and up to each line.
+    """
+    n = len(hashes)
+    i = np.arange(n)
+    last = np.searchsorted(begin, begin[:-1] + min_words, side="left") - 1
+    first = np.searchsorted(begin, begin[1:] - min_words, side="right") - 1
+    a, b = np.concatenate([i, first]), np.concatenate([last, i])
+    whole = (a >= 0) & (b < n)
+    a, b = a[whole], b[whole]
+    a, b = np.divmod(np.unique(a[doc[a] == doc[b]] * (n + 1) + b[doc[a] == doc[b]]), n + 1)
+    at = a.copy()
+    for k in range(1, int((b - a).max(initial=0)) + 1):  # under min_words, as a line has a word
+        inside = np.flatnonzero(a + k <= b)
+        less = hashes[a[inside] + k] <= hashes[at[inside]]
+        at[inside[less]] = a[inside[less]] + k
+    run = _Runs(hashes, _OTHER).of(a, b + 1)
+    return hashes[at], _mixed(run + (at - a).astype(np.uint64) + np.uint64(1)), at, a, b
+
+
+def marks_of(texts: list[bytes], min_words: int, run_words: int):
     """(text's number, of lines, fingerprint, run hash, place, first, end), as arrays."""
-    every, sizes, rows = [], [], []
-    for i, t in enumerate(texts):
-        words, hashes, counts = _lines_of((t or "").encode("utf-8", "surrogatepass"))
-        every += words
-        sizes.append(len(words))
-        if hashes and len(words) >= min_words:
-            rows += [(i, *m) for m in line_marks(hashes, counts, min_words)]
-    sizes = np.array(sizes, np.int64)
-    doc, begin = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
-    fp, run, place, first, end = word_marks(_word_hashes(every, cache), doc, run_words)
-    of = doc[first]
-    lines = list(zip(*rows)) or [[]] * 6
-    unsigned = lambda c: np.array(c, np.uint64)
-    joined = lambda a, b: np.concatenate([np.array(a, np.int64), b])
-    return (joined(lines[0], of), np.arange(len(rows) + len(of)) < len(rows), np.concatenate([unsigned(lines[1]), fp]), np.concatenate([unsigned(lines[2]), run]),
-            joined(lines[3], place - begin[of]), joined(lines[4], first - begin[of]), joined(lines[5], end - begin[of]))
+    w = words_of(texts)
+    fp, run, place, first, end = word_marks(w.hashes, w.doc, run_words)
+    of_line = w.doc[w.lines[:-1]]
+    line_fp, line_run, at, a, b = line_marks(w.line_hashes, w.lines, of_line, min_words)
+    of = np.concatenate([of_line[a], w.doc[first]])
+    back = w.first[of]
+    both = lambda x, y: np.concatenate([x, y])
+    return (of, np.arange(len(of)) < len(a), both(line_fp, fp), both(line_run, run), both(w.lines[at], place) - back, both(w.lines[a], first) - back, both(w.lines[b + 1], end) - back)
 
 
 def _pieces(batches):
-    """Batches of a bounded number of bytes, but for single long texts."""
+    """Batches of a bounded number of bytes, but for single long texts, and their texts."""
     for batch in batches:
-        sizes = [len(t or "") for t in batch.column("ld_text").to_pylist()]
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // _CALL_BYTES, prepend=-1)).tolist()
-        for a, b in zip(cuts, [*cuts[1:], len(sizes)]):
-            yield batch.slice(a, b - a)
+        texts = batch.column("ld_text").cast(pa.binary()).to_pylist()
+        texts = [t or b"" for t in texts]
+        sizes = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // _CALL_BYTES
+        cuts = np.flatnonzero(np.diff(sizes, prepend=-1)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(texts)]):
+            yield batch.slice(a, b - a), texts[a:b]
 
 
 def _emit(batches, min_words, run_words):
-    cache = _Hashes()
-    for batch in _pieces(batches):
-        of, lines, fp, run, at, first, end = marks_of(batch.column("ld_text").to_pylist(), min_words, run_words, cache)
+    for batch, texts in _pieces(batches):
+        of, lines, fp, run, at, first, end = marks_of(texts, min_words, run_words)
         take = pa.array(of)
         yield pa.RecordBatch.from_arrays(
             [batch.column("ld_id").take(take), batch.column("ld_hash").take(take), pa.array(lines), pa.array(fp.view(np.int64)), pa.array(run.view(np.int64)),
@@ -195,18 +202,21 @@ def _emit(batches, min_words, run_words):
 
 def _emit_windows(batches, run_words):
     """Every window that a wanted fingerprint was selected from: (id, hash, fingerprint, window hash, first word)."""
-    cache = _Hashes()
-    for batch in batches:
-        for i in range(batch.num_rows):
-            text, wanted = batch.column("ld_text")[i].as_py(), batch.column("ld_wanted")[i].as_py()
-            runs = _Runs(_word_hashes(text.encode("utf-8", "surrogatepass").split(), cache), _OTHER)
-            first, end, fp = (np.array([w[k] for w in wanted], np.int64) for k in ("first", "last", "fp"))
-            n = end - first - run_words + 1
-            start = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            one = lambda c: batch.column(c).take(pa.array(np.full(len(start), i)))
-            yield pa.RecordBatch.from_arrays(
-                [one("ld_id"), one("ld_hash"), pa.array(np.repeat(fp, n)), pa.array(runs.of(start, start + run_words).view(np.int64)), pa.array(start.astype(np.int32))],
-                names=["ld_id", "ld_hash", "ld_fp", "ld_run", "ld_first"])
+    for batch, texts in _pieces(batches):
+        w = words_of(texts)
+        lists = batch.column("ld_wanted")
+        of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        wanted = pc.list_flatten(lists)
+        fp, first, end = (pc.struct_field(wanted, k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("fp", "first", "last"))
+        n = end - first - run_words + 1
+        start = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        of, fp = np.repeat(of, n), np.repeat(fp, n)
+        at = start + w.first[of]
+        run = _Runs(w.hashes, _OTHER).of(at, at + run_words)
+        take = pa.array(of)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("ld_id").take(take), batch.column("ld_hash").take(take), pa.array(fp), pa.array(run.view(np.int64)), pa.array(start.astype(np.int32))],
+            names=["ld_id", "ld_hash", "ld_fp", "ld_run", "ld_first"])
 
 
 def _slot():
@@ -256,28 +266,27 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int =
     return whole.unionByName(later.select("ld_id", "ld_hash", "ld_first", (F.col("ld_first") + run_words).alias("ld_last")))
 
 
-def keep_words(text: str, runs) -> tuple[str, int]:
-    """The text without the words of runs and the white space after them (a line break stays), and how many words those are."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    edge = np.zeros(len(spans) + 1, np.int64)
-    for r in runs:
-        edge[r["first"]] += 1
-        edge[r["last"]] -= 1
-    gone = np.cumsum(edge[:-1]) > 0
+def keep_words(text: str, first, last) -> tuple[str, int]:
+    """The text without the words of the runs and the white space after them (a line break stays), and how many words those are."""
+    data = text.encode("utf-8", "surrogatepass")
+    w = words_of([data])
+    n = len(w.begin)
+    gone = np.cumsum(np.bincount(first, minlength=n + 1)[:n + 1] - np.bincount(last, minlength=n + 1)[:n + 1])[:n] > 0
     if not gone.any():
         return text, 0
+    begin, end = np.append(w.begin, len(data) + 1) - 1, w.end - 1
     turns = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
     out, done = [], 0
     for a, b in zip(turns[::2], turns[1::2]):
-        before = text[done:spans[a][0]]
-        done = spans[b][0] if b < len(spans) else len(text)
-        ends_line = "\n" in text[spans[b - 1][1]:done]
-        out.append(before + ("\n" if ends_line and before and not before.endswith("\n") else ""))
-    return "".join(out) + text[done:], int(gone.sum())
+        out.append(data[done:begin[a]])
+        done = begin[b]
+        if b"\n" in data[end[b - 1]:done] and out[-1] and not out[-1].endswith(b"\n"):
+            out.append(b"\n")
+    return (b"".join(out) + data[done:]).decode("utf-8", "surrogatepass"), int(gone.sum())
 
 
-def _cleaned(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
-    kept = [(t, 0) if t is None or r is None or not len(r) else keep_words(t, r) for t, r in zip(texts, runs)]
+def _cleaned(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.DataFrame:
+    kept = [(t, 0) if t is None or a is None or not len(a) else keep_words(t, a, b) for t, a, b in zip(texts, firsts, lasts)]
     return pd.DataFrame(kept, columns=["text", "removed"])
 
 
@@ -290,7 +299,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = stored(runs.groupBy("ld_id", "ld_hash").agg(F.collect_set(F.struct(F.col("ld_first").alias("first"), F.col("ld_last").alias("last"))).alias("ld_gone")), "line-gone")
     some, clean = _split(keyed.drop("ld_text"), runs)
     joined = some.join(_renamed(runs).hint("merge"), _of_document(runs), "left")
-    joined = joined.withColumn("ld_out", F.pandas_udf(_cleaned, "text string, removed long")(F.col("ld_row")[text_col], F.col("ld_gone")))
+    joined = joined.withColumn("ld_out", F.pandas_udf(_cleaned, "text string, removed long")(F.col("ld_row")[text_col], F.col("ld_gone.first"), F.col("ld_gone.last")))
     kept = [c for c in docs.columns if c != removed_col]
     cleaned = joined.select(*(F.col("ld_out.text").alias(c) if c == text_col else F.col("ld_row")[c].alias(c) for c in kept), F.col("ld_out.removed").alias(removed_col))
     return cleaned.unionByName(clean.select(*(F.col("ld_row")[c].alias(c) for c in kept), F.lit(0).cast("long").alias(removed_col)))

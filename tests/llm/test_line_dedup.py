@@ -89,7 +89,7 @@ def test_fingerprints_decide(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(docs)), "ld_id long, ld_text string").selectExpr("*", "xxhash64(ld_text) ld_hash")
     emit = line_dedup._emit
     assert line_dedup.repeated_runs(rows, 5, 9).count() > 0
-    marks = lambda: [m for t in docs for b in [whole([t], 5, 9, line_dedup._Hashes())] for m in b[2].tolist()]
+    marks = lambda: [m for t in docs for m in whole([t.encode()], 5, 9)[2].tolist()]
     assert max(Counter(marks()).values()) > 1
     lone = lambda batches, *a: (b.set_column(3, "ld_fp", pa.array(np.arange(b.num_rows) + 10**6 * np.array(b.column("ld_id").to_pylist(), np.int64))) for b in emit(batches, *a))
     monkeypatch.setattr(line_dedup, "_emit", lone)
@@ -97,8 +97,8 @@ def test_fingerprints_decide(spark, monkeypatch):
 
 
 def test_text_keeps_its_lines():
-    cut = lambda *runs: line_dedup.keep_words("a b\nc d\n\n e f", [{"first": x, "last": y} for x, y in runs])
-    assert cut() == ("a b\nc d\n\n e f", 0)
+    cut = lambda *runs: line_dedup.keep_words("a b\nc d\n\n e f", [x for x, _ in runs], [y for _, y in runs])
+    assert cut((0, 0)) == ("a b\nc d\n\n e f", 0)
     assert cut((2, 4)) == ("a b\ne f", 2)
     assert cut((1, 3), (2, 4)) == ("a \ne f", 3)
     assert cut((0, 2)) == ("c d\n\n e f", 2)
