@@ -16,7 +16,7 @@ ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'view')
 def asof_join(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     views = e.where("event_type = 'view'").select("user_id", "ts", F.col("value").alias("view_value"))
-    return temporal.asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, "ts", ["user_id"], ["view_value"])
+    return temporal.asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, "ts", ["user_id"], ["view_value"], bucket=lambda ts: F.to_date(ts))
 
 
 @query("""

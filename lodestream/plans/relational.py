@@ -45,12 +45,10 @@ def join_left(spark, sf_dir):
 
 
 @query("""
-SELECT coalesce(s_nationkey, c_nationkey) AS nation, s_suppkey, c_custkey
-FROM (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) s
-FULL JOIN (SELECT * FROM customer WHERE c_custkey % 50 = 0) c ON s_nationkey = c_nationkey""")
+SELECT coalesce(s_suppkey, p_partkey) AS key, s_suppkey, p_partkey, s_acctbal, p_size FROM supplier FULL JOIN part ON s_suppkey = p_partkey""")
 def join_full(spark, sf_dir):
-    s, c = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0"), table(spark, sf_dir, "customer").where("c_custkey % 50 = 0")
-    return s.join(c, s.s_nationkey == c.c_nationkey, "full").select(F.coalesce("s_nationkey", "c_nationkey").alias("nation"), "s_suppkey", "c_custkey")
+    s, p = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
+    return s.join(p, s.s_suppkey == p.p_partkey, "full").select(F.coalesce("s_suppkey", "p_partkey").alias("key"), "s_suppkey", "p_partkey", "s_acctbal", "p_size")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")

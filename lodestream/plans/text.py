@@ -32,10 +32,10 @@ def conversation_roles(spark, sf_dir):
 
 
 @query("""
-SELECT label, count(*) AS n, sum(floor(1000 * embedding[1]::DOUBLE)::BIGINT)::BIGINT AS first_milli FROM embeddings GROUP BY label""")
+SELECT label, count(*) AS n, sum(list_sum(list_transform(embedding, lambda x: floor(1000 * x::DOUBLE)))::BIGINT)::BIGINT AS total_milli FROM embeddings GROUP BY label""")
 def embedding_labels(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.floor(1000 * F.col("embedding")[0].cast("double"))).alias("first_milli"))
+        F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("embedding", F.lit(0).cast("long"), lambda a, x: a + F.floor(1000 * x.cast("double")))).alias("total_milli"))
 
 
 @query("""
