@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Python workers see at most BATCH_ROWS rows at a time."""
+    """Python workers see at most BATCH_ROWS rows at a time. The setting stays, as plans that were made under it run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one of this process where it is unset."""
+    """The folder that all machines share: spark.checkpoint.dir. Where it is unset, one of this process if that is the only machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         own = tempfile.mkdtemp(prefix="lodestream-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         folder = "file://" + own
@@ -34,15 +37,37 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that own_path puts new paths in, the innermost last.
+_SCOPES: list[str] = []
+
+
+def _app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestream-{spark.sparkContext.applicationId}"
+
+
 def own_path(spark: SparkSession, tag: str) -> str:
     """A new path in this application's part of the shared folder."""
-    return f"{shared_dir(spark)}/lodestream-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    return "/".join([_app_dir(spark), *_SCOPES[-1:], f"{tag}-{uuid.uuid4().hex}"])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is stored inside is deleted at the end, when what was made of it has to be written elsewhere."""
+    _SCOPES.append(f"scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, f"{_app_dir(spark)}/{_SCOPES.pop()}")
 
 
 def clean(spark: SparkSession) -> None:
     """Delete what this application has stored; results that have not been written elsewhere go with it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestream-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _app_dir(spark))
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -52,6 +77,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rows_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs with one of the keys (id, xxhash64 of the text), all their columns; of rows with equal keys one."""
+    mine = docs.select(docs[f"`{id_col}`"].alias("of_id"), F.xxhash64(docs[f"`{text_col}`"]).alias("of_hash"),
+                       F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))  # the caller's names stay out of the way
+    same = (F.col("of_hash") == F.col("hash")) & F.col("of_id").eqNullSafe(F.col("id"))
+    often = mine.groupBy("of_id", "of_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = mine.join(keys.select("id", "hash"), same, "left_semi")
+    if not keys.join(often, same, "left_semi").isEmpty():
+        kept = kept.dropDuplicates(["of_id", "of_hash"])
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def words(text: str) -> list[bytes]:
     """Lower-cased (A-Z only) words, as UTF-8: runs of bytes other than space and 0x09 to 0x0D."""
     return text.encode("utf-8", "surrogatepass").lower().split()

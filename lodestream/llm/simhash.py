@@ -9,14 +9,17 @@ Keys of about 27 bits keep chance meetings rare as the corpus grows.
 Only distinct fingerprints are linked; copies belong to their fingerprint. A key
 that two fingerprints share gives that pair; one of up to BUCKET is searched in
 one task, which reports a spanning forest of the links within the radius and not
-the pairs. Fingerprints in larger buckets are cut in chunks of BUCKET, and each
-two chunks are searched in a task of their own, so no group meets in one task and
-no link is lost. Connected components follow from the reported links.
+the pairs. Fingerprints in larger buckets are grouped by the buckets they share;
+a group is cut in chunks of BUCKET, and each two chunks of it are searched in a
+task of their own, so no group meets in one task and no link is lost. The work
+of a group grows with the square of its distinct fingerprints. Connected
+components follow from the reported links.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like
 any other; fewer than four words make one shingle; repeated rows and equal texts
 share a class; a null id is never a component's number (a component of null ids
-alone has a null one); an empty table gives no rows; other columns are ignored.
+alone has a null one); an empty table gives no rows; other columns are ignored
+by `near_duplicates` and kept, whatever their names, by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import components, small_batches, stored, table, words
+from lodestream.llm.common import components, rows_of, small_batches, stored, table, words
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 _BLOCKS, _AGREE = 7, 3
@@ -127,29 +130,34 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     if radius > _BLOCKS - _AGREE:
         raise ValueError("the blocks guarantee a radius of 4 at most")
     masks = F.array(*(F.lit(_signed(m)) for m in block_masks()))
-    keys = fps.select("fp", F.posexplode(masks).alias("choice", "mask")).select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # a row becomes 35
+    keys = spread.select("fp", F.posexplode(masks).alias("choice", "mask")).select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     sized = stored(keys.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "buckets")
     within = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
-    pairs = sized.where("n = 2").where(within("lo", "hi")).select(F.col("lo").alias("src"), F.col("hi").alias("dst"))
+    found = sized.where("n = 2").where(within("lo", "hi")).select(F.col("lo").alias("src"), F.col("hi").alias("dst"))
 
     # both sides grow with the corpus: always merged, never broadcast
-    shared = keys.join(sized.where("n > 2").select("choice", "key", "n").hint("merge"), ["choice", "key"])
+    shared = keys.join(sized.where("n > 2").select("choice", "key", "n", "lo").hint("merge"), ["choice", "key"])
     shared = stored(shared, "shared-keys")
     lists = shared.where(f"n <= {bucket}").groupBy("choice", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
-    some = lists.mapInArrow(lambda b: _bucket_links(b, radius), "src long, dst long")
-
-    crowded = shared.where(f"n > {bucket}").select("fp").distinct()
-    crowded = stored(crowded, "crowded")
-    chunks = max(1, -(-crowded.count() // (bucket // 2)))
-    chunked = (crowded.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.lit(chunks)).cast("int"))
-               .groupBy("chunk").agg(F.collect_list("fp").alias("fps")))
-    meet = lambda c, o: F.concat(F.lpad(F.least(c, o).cast("string"), 9, "0"), F.lpad(F.greatest(c, o).cast("string"), 9, "0"))
-    dealt = (chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-             .withColumn("meeting", meet(F.col("chunk"), F.col("other"))))
-    a = dealt.where("chunk <= other").select("meeting", F.col("fps").alias("fps_a"), (F.col("chunk") == F.col("other")).alias("same"))
-    b = dealt.where("chunk >= other").select("meeting", F.col("fps").alias("fps_b"))
-    many = a.join(b, "meeting").select("fps_a", "fps_b", "same").mapInArrow(lambda x: _chunk_links(x, radius), "src long, dst long")
-    return pairs.union(some).union(many)
+    found = found.union(lists.mapInArrow(lambda b: _bucket_links(b, radius), "src long, dst long"))
+
+    crowded = shared.where(f"n > {bucket}")
+    if crowded.isEmpty():
+        return found
+    star = stored(crowded.where("fp <> lo").select(F.col("fp").alias("src"), F.col("lo").alias("dst")).distinct(), "crowded-star")
+    nodes = star.select(F.col("src").alias("node")).union(star.select("dst")).distinct()
+    members = stored(components(nodes, star), "crowded")
+    total = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / (bucket // 2)).cast("int").alias("chunks"))
+    chunked = (members.join(total.hint("merge"), "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+               .groupBy("component", "chunks", "chunk").agg(F.collect_list("node").alias("fps")))
+    dealt = (stored(chunked, "crowded-chunks").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+             .withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other")))
+    meeting = ["component", "low", "high"]
+    a = dealt.where("chunk = low").select(*meeting, F.col("fps").alias("fps_a"), (F.col("chunk") == F.col("other")).alias("same"))
+    b = dealt.where("chunk = high").select(*meeting, F.col("fps").alias("fps_b"))
+    many = a.join(b.hint("merge"), meeting).select("fps_a", "fps_b", "same").mapInArrow(lambda x: _chunk_links(x, radius), "src long, dst long")
+    return found.union(many)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -168,10 +176,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs that stay: of each component the row of least (id, text hash), all its columns, once."""
     found = near_duplicates(docs, id_col, text_col)
     keys = found.groupBy(F.coalesce("component_id", "fp").alias("c"), F.col("component_id").isNull()).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
-    keys = stored(keys.select(F.col("k.doc_id").alias("nd_id"), F.col("k.text_hash").alias("nd_hash")), "stay")
-    kept = docs.withColumn("nd_of", F.xxhash64(text_col)).join(
-        keys, (F.col("nd_of") == F.col("nd_hash")) & F.col(id_col).eqNullSafe(F.col("nd_id")), "left_semi")
-    return kept.dropDuplicates([id_col, "nd_of"]).drop("nd_of")
+    return rows_of(docs, stored(keys.select(F.col("k.doc_id").alias("id"), F.col("k.text_hash").alias("hash")), "stay"), id_col, text_col)
 
 
 def op7_simhash(spark, sf_dir):
