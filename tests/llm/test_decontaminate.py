@@ -20,7 +20,7 @@ def brute(docs, items, similarity=dc.SIMILARITY):
             xs = words(x or "")
             if not ws or not xs:
                 continue
-            b, n = Counter(shingles(xs)), min(dc.step(len(xs)), len(ws))
+            b, n = Counter(shingles(xs)), min(len(xs), len(ws))
             for a in range(len(ws) - n + 1):
                 c = Counter(shingles(ws[a:a + n]))
                 s = sum((b & c).values()) / sum((b | c).values())
@@ -65,6 +65,26 @@ def test_odd_rows(spark, odd, empty, clashing):
     assert {(r.doc_id, r.item_id) for r in dc.contaminated(odd, items).collect()} == {(4, 1)}
     assert dc.contaminated(empty, items).collect() == [] and dc.contaminated(odd, items.limit(0)).collect() == []
     assert dc.clean(clashing, items).count() == clashing.count() - 2
+    taken = odd.withColumnsRenamed({"lang": "dc_id", "source": "dc_of", "n_chars": "dc_row"})
+    assert dc.clean(taken, items).columns == taken.columns and dc.clean(taken, items).count() == odd.count() - 2
+
+
+def test_recall_of_the_radius(capsys):
+    """Windows of items of 6 to 400 words with edits, similar by 0.8 to 0.85: how many are within the radius."""
+    rng, found = random.Random(1), Counter()
+    while found["all"] < 4000:
+        n = rng.choice([6, 8, 10, 15, 20, 30, 45, 60, 100, 200, 400])
+        item = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        text = [f"x{rng.randrange(10**6)}" if rng.random() < rng.choice([0.01, 0.02, 0.03]) else w for w in item]
+        cut = rng.randrange(0, 1 + n // 8)
+        text = text[cut:] + [f"y{rng.randrange(10**6)}" for _ in range(cut)]
+        b, c = Counter(shingles(item)), Counter(shingles(text))
+        if 0.8 <= sum((b & c).values()) / sum((b | c).values()) <= 0.85:
+            hashes = [dc.shingle_hashes(dc._hashed(" ".join(x), dc._Hashes())) for x in (item, text)]
+            found["all"] += 1
+            found["near"] += bin((dc.majority(hashes[0]) ^ dc.majority(hashes[1])) & (1 << 64) - 1).count("1") <= dc.RADIUS
+    print("recall of the radius", found["near"] / found["all"])
+    assert found["near"] >= 0.998 * found["all"]
 
 
 def test_blocks_guarantee_the_radius(spark):
