@@ -1,21 +1,23 @@
 """Licence scans, in DataFrame functions only.
 
 Base places are those where a phrase's words stand consecutively. Besides, an
-exact set-similarity join compares every text block (a line) with a catalogue of
-licence statements: a block matches a template if it contains at least THRESHOLD
-of the template's distinct words. Words are ordered by their frequency over the
+exact set-similarity join compares every text block with a catalogue of licence
+statements. Blocks are windows of BLOCK words, STRIDE apart, whatever the line
+breaks, so every run of up to BLOCK - STRIDE + 1 words lies in one whole. A block
+matches a template if it contains at least THRESHOLD of the template's distinct
+words: all of a template of up to 12, all but one of up to 24. Words are ordered by their frequency over the
 whole corpus, rarest first. A match needs `need` of a template's words, so it
 holds one of the first size - need + 1 in that order (prefix filter); it has
 `need` words of the catalogue itself (length filter); and from the place of its
 first shared prefix word on, both sides have enough words left (positional
 filter). What passes is counted exactly.
 
-The catalogue is a parameter, not data: its words (CATALOGUE_WORDS at most) are
-literals of the plan, and their corpus frequencies come to the driver.
+The catalogue is a parameter, not data: its words are literals of the plan, which
+grows with them, and their corpus frequencies come to the driver.
 
 Defined cases: a null text counts as empty: no words, no places, score 0; each
 row is scanned by itself, so null ids, ties, repeated rows and empty tables need
-no rule; other columns are ignored.
+no rule; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,8 +53,9 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all rights"),
 )
-THRESHOLD = 0.95
-CATALOGUE_WORDS = 10_000
+#: Over 0.9: a GPL statement has nine of the ten words of an LGPL one.
+THRESHOLD = 0.92
+BLOCK, STRIDE = 48, 24
 _NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -91,11 +94,9 @@ def _strings(values):
     return F.array(*(F.lit(v) for v in values)) if values else F.array().cast("array<string>")
 
 
-def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_cols=("lic_row",), norm_col: str = "norm", text_col: str = "text") -> DataFrame:
-    """(id_cols, block, label, containment): every line of docs that meets a template's threshold. norm_col: normalised texts."""
+def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_cols=("lic_row", "lic_more"), norm_col: str = "norm") -> DataFrame:
+    """(id_cols, block, label, containment): every block of docs that meets a template's threshold. norm_col: normalised texts."""
     vocabulary = sorted({w for _, t in templates for w in t.split()})
-    if len(vocabulary) > CATALOGUE_WORDS:
-        raise ValueError(f"the catalogue has over {CATALOGUE_WORDS} words")
     counts = (docs.select(F.explode(F.array_intersect(F.split(norm_col, " "), _strings(vocabulary))).alias("word"))
               .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     seen = {r.word: r.n for r in counts.collect()}  # of the catalogue's words only
@@ -116,11 +117,13 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = TH
     for w in prefix_words:
         c = F.contains(norm_col, F.lit(f" {w} "))
         holds_one = c if holds_one is None else holds_one | c
-    lines = docs.where(holds_one).select(*id_cols, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("block", "line"))
-    blocks = _held(lines, "tokens", _word_list(normalised(F.col("line")))).where(F.arrays_overlap("tokens", _strings(prefix_words)))
+    worded = _held(docs.where(holds_one).select(*id_cols, norm_col), "ws", _word_list(F.col(norm_col)))
+    last = F.greatest(F.lit(0), F.ceil((F.size("ws") - BLOCK) / STRIDE)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("ws", i * STRIDE + 1, BLOCK))
+    blocks = worded.select(*id_cols, F.posexplode(cut).alias("block", "tokens")).where(F.arrays_overlap("tokens", _strings(prefix_words)))
     mine = F.filter(F.transform(_strings(order), lambda w, i: F.when(F.array_contains("tokens", w), i)), lambda i: i.isNotNull())
     blocks = blocks.select(*id_cols, "block", mine.alias("mine"))
-    probes = blocks.withColumn("rank", F.explode("mine")).join(F.broadcast(catalogue), "rank")  # a literal of the plan
+    probes = blocks.withColumn("rank", F.explode("mine")).join(catalogue, "rank")
     left = lambda ranks: F.size(ranks) - F.array_position(ranks, F.col("rank")).cast("int") + 1
     kept = (probes.where(F.size("mine") >= F.col("need"))
             .where(F.get(F.array_intersect("prefix", "mine"), F.lit(0)) == F.col("rank"))  # its first shared prefix word
@@ -132,18 +135,19 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = TH
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, places, base_labels, labels, score) of each row; places: word starts of all phrases."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # the row's own hash stands for it: equal rows have equal results
-    rows = _held(rows.withColumn("lic_row", F.xxhash64("doc_id", "text")), "norm", normalised(F.col("text")))
+    # the row's own hashes stand for it: equal rows have equal results
+    rows = rows.withColumn("lic_row", F.xxhash64("doc_id", "text")).withColumn("lic_more", F.xxhash64(F.lit("more"), "text", "doc_id"))
+    rows = _held(rows, "norm", normalised(F.col("text")))
     hit = _any(F.contains("norm", F.lit(f" {p} ")) for p in PHRASES)
     n_words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) - 1
     worded = _held(rows, "lic_words", F.when(hit, _word_list(F.col("norm"))))
     told = worded.select(
-        "doc_id", "lic_row", F.greatest(n_words, F.lit(0)).cast("long").alias("n_words"),
+        "doc_id", "lic_row", "lic_more", F.greatest(n_words, F.lit(0)).cast("long").alias("n_words"),
         F.when(F.col("lic_words").isNotNull(), F.array(*(F.struct(F.lit(label).alias("label"), _places(F.col("norm"), F.col("lic_words"), p).alias("at")) for p, label in PHRASES.items()))).alias("found"))
-    matched = (template_matches(rows).groupBy("lic_row")
+    matched = (template_matches(rows).groupBy("lic_row", "lic_more")
                .agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-               .withColumnRenamed("lic_row", "lic_key"))
-    both = told.join(stored(matched, "licences"), F.col("lic_row") == F.col("lic_key"), "left")
+               .withColumnsRenamed({"lic_row": "lic_key", "lic_more": "lic_also"}))
+    both = told.join(stored(matched, "licences"), (F.col("lic_row") == F.col("lic_key")) & (F.col("lic_more") == F.col("lic_also")), "left")
     hits = F.filter("found", lambda x: F.size(x["at"]) > 0)
     base = F.coalesce(F.transform(hits, lambda x: x["label"]), F.array().cast("array<string>"))
     places = F.coalesce(F.flatten(F.transform(hits, lambda x: x["at"])), F.array().cast("array<int>"))
@@ -171,7 +175,7 @@ def op6_licence_scan(spark, sf_dir):
 
 
 def _oracle() -> str:
-    """The same rules without filters: every phrase at every place, every line against every template."""
+    """The same rules without filters: every phrase at every place, every block against every template."""
     values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
     tokens = lambda text: f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return f"""
@@ -184,10 +188,10 @@ places AS (
 base AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, list_distinct({tokens("line")}) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+blocks AS (SELECT doc_id, list_distinct(w[i * {STRIDE} + 1:i * {STRIDE} + {BLOCK}]) AS w FROM d, generate_series(0, greatest(0, ceil((len(w) - {BLOCK}) / {STRIDE}))::BIGINT) AS g(i)),
 matches AS (
   SELECT doc_id, label, len(list_intersect(w, t))::DOUBLE / len(t) AS share
-  FROM lines, (SELECT label, list_distinct(string_split(template, ' ')) AS t FROM templates)
+  FROM blocks, (SELECT label, list_distinct(string_split(template, ' ')) AS t FROM templates)
   WHERE len(list_intersect(w, t)) >= ceil({THRESHOLD} * len(t) - 1e-9)),
 labels AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels

@@ -16,8 +16,8 @@ def brute(text):
         places += at
         base |= {label} if at else set()
     labels, best = set(base), 0.0
-    for line in (text or "").split("\n"):
-        have = set(plain(line))
+    for at in range(0, max(1, len(ws) - licences.BLOCK + licences.STRIDE), licences.STRIDE):
+        have = set(ws[at:at + licences.BLOCK])
         for label, t in licences.TEMPLATES:
             share = len(have & set(t.split())) / len(set(t.split()))
             if share >= licences.THRESHOLD - 1e-9:
@@ -35,6 +35,9 @@ TEXTS = [
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and documentation files.",
     "Licensed under CC BY-NC 4.0.", "licensed under a Creative Commons Attribution 4.0 International License!", "CC BY", "İcc bY K K MIT LICENSE\x00mit license",
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", None, "",
+    "x " * 61 + "Permission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software and associated\ndocumentation files" + " y" * 40,
+    "Permission to use, modify, and or distribute this software for any\npurpose with or without fee is hereby granted",
+    "Redistribution and use in source and binary forms, with or without\nmodification are permitted if the following conditions are met",
 ]
 
 
@@ -44,6 +47,12 @@ def test_against_brute_force(spark):
     assert got == {i: brute(t) for i, t in rows}
 
 
+def test_wrapped_and_changed_statements(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS[-3:])]
+    got = {r.doc_id: (r.labels, r.score) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == (["mit"], 1.0) and got[1][0] == ["isc"] and 0.9 < got[1][1] < 1 and got[2][0] == []
+
+
 def test_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
