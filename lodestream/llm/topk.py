@@ -4,21 +4,26 @@ Vectors are packed into blocks of BLOCK rows. A block keeps, for each dimension,
 its rows sorted by that component. A query walks all lists in step, from the end
 its sign prefers, looks up every row it meets, and stops at the depth where the
 threshold (the best total a row not yet met can have) is below its kth score.
-Blocks are searched apart and their top k merged, so a task holds one block of
-rows and one block of queries whatever the table's size.
+Blocks are searched apart and their top k merged, so a task holds a few blocks of
+rows and one block of queries whatever the table's size. Blocks are dealt to as
+many numbers as there are blocks, and each block of queries goes to all numbers,
+so the join has that many keys.
 
 Defined cases: vectors that are null, or hold a null or non-finite component,
 take no part, nor do rows with a null id; vectors of another dimension than the
 query's aren't candidates of it; ties go to the smaller id; each row counts, so
 a repeated id can appear more than once (a query leaves out all rows of its own
 id); a repeated query id is searched once, with its lexically largest vector; an
-empty table gives no rows.
+empty table gives no rows; other columns are ignored, whatever their names.
+Scores are exact whatever the components, and ranked as such; one that a long
+can't hold is null in the result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +36,10 @@ _EXACT = 2.0**53
 
 def scaled(embedding: str, factor: int = 256):
     """floor(factor * x) of each component, as double."""
-    return F.transform(embedding, lambda x: F.floor(x.cast("double") * F.lit(float(factor))).cast("double"))
+    def one(x):
+        y = x.cast("double") * F.lit(float(factor))
+        return F.when(F.abs(y) < F.lit(2.0**52), F.floor(y).cast("double")).otherwise(y)  # doubles beyond are whole
+    return F.transform(embedding, one)
 
 
 def _usable(vector: str):
@@ -84,30 +92,47 @@ def threshold_search(block, ids, order, values, query, query_id, k, step=64):
     return scores[best], found[best]
 
 
-def _search_block(rows, k):
+_FOUND = "query_id long, vec_id long, score long, beyond int, digits string"
+_DIGITS = 10**700  # more than any score of doubles has
+
+
+def _rows(queries: list, ids: list, scores: list) -> pa.RecordBatch:
+    """Results; a score that a long can't hold is null, and ranked by beyond and digits."""
+    beyond = [(x >= 1 << 63) - (x < -(1 << 63)) for x in scores]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(queries, pa.int64()), pa.array(ids, pa.int64()), pa.array([None if o else x for x, o in zip(scores, beyond)], pa.int64()), pa.array(beyond, pa.int32()),
+         pa.array([str(_DIGITS + x).zfill(702) if o else None for x, o in zip(scores, beyond)], pa.string())],
+        names=["query_id", "vec_id", "score", "beyond", "digits"])
+
+
+def _search_block(batches, k):
     """For each (candidate block, query block) row: the k best of the block for each query."""
-    kept = (None, None)
-    for pdf in rows:
-        for r in pdf.itertuples(index=False):
-            if kept[0] != r.c_block:
-                block = np.frombuffer(r.c_data, np.float64).reshape(r.c_n, r.dim)
-                kept = (r.c_block, (block, np.frombuffer(r.c_ids, np.int64), *(sorted_lists(block) if r.dim else (None, None))))
-            block, ids, order, values = kept[1]
-            queries, q_ids = np.frombuffer(r.q_data, np.float64).reshape(r.q_n, r.dim), np.frombuffer(r.q_ids, np.int64)
-            top = np.abs(block).max(initial=0) * np.abs(queries).max(initial=0) * r.dim
-            exact = top < _EXACT
-            out = []
-            if not exact:  # whole numbers too large for doubles: Python's integers
-                as_int = np.frompyfunc(int, 1, 1)
+    held: dict = {}
+    for batch in batches:
+        of = lambda name, i: batch.column(name)[i]
+        for i in range(batch.num_rows):
+            dim, name = of("dim", i).as_py(), of("c_block", i).as_py()
+            array = lambda c, kind, i=i: np.frombuffer(of(c, i).as_buffer(), kind)
+            if name not in held:
+                if len(held) >= 4:
+                    held.pop(next(iter(held)))
+                block = array("c_data", np.float64).reshape(of("c_n", i).as_py(), dim).copy()
+                held[name] = (block, array("c_ids", np.int64).copy(), *(sorted_lists(block) if dim else (None, None)))
+            block, ids, order, values = held[name]
+            queries, q_ids = array("q_data", np.float64).reshape(of("q_n", i).as_py(), dim), array("q_ids", np.int64)
+            if dim and not float(np.abs(block).max(initial=0)) < _EXACT / max(1.0, float(np.abs(queries).max(initial=0)) * dim):
+                as_int = np.frompyfunc(int, 1, 1)  # whole numbers too large for doubles: Python's integers
                 block, queries, values = as_int(block), as_int(queries), as_int(values)
-            for q, q_id in zip(queries, q_ids):
-                if r.dim == 0:
+            out = ([], [], [])
+            for q, q_id in zip(queries, q_ids.tolist()):
+                if dim:
+                    scores, found = threshold_search(block, ids, order, values, q, q_id, k)
+                else:
                     found = np.sort(ids[ids != q_id])[:k]
-                    out.append(pd.DataFrame({"query_id": q_id, "vec_id": found, "score": np.zeros(len(found), np.int64)}))
-                    continue
-                s, found = threshold_search(block, ids, order, values, q, q_id, k)
-                out.append(pd.DataFrame({"query_id": q_id, "vec_id": found, "score": np.array([int(x) for x in s], np.int64)}))
-            yield pd.concat(out)
+                    scores = np.zeros(len(found), np.int64)
+                for have, more in zip(out, ([q_id] * len(found), found.tolist(), [int(x) for x in scores])):
+                    have += more
+            yield _rows(*out)
 
 
 def _packed(df: DataFrame, size: int, prefix: str) -> DataFrame:
@@ -141,17 +166,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     """(query_id, rank, vec_id, score): the k best rows of vectors for each row of queries.
 
     Both have whole-number vectors in vector_col. Query blocks meet candidate
-    blocks of their dimension by an equi-join on a block number, each pair once.
+    blocks of their dimension by an equi-join on the number that a block is dealt,
+    each pair once.
     """
     def side(df):
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & _usable("v"))
 
     c = stored(_packed(side(vectors), BLOCK, "c"), "topk-blocks")
+    numbers = max(1, c.count())
+    c = c.withColumn("deal", F.pmod(F.xxhash64("c_block"), F.lit(numbers)))
     q = _packed(side(queries).groupBy("id").agg(F.max("v").alias("v")), QUERY_BLOCK, "q")
-    pairs = q.join(c.select("dim", "c_block"), "dim")
-    both = pairs.join(c, ["dim", "c_block"])
-    best = both.mapInPandas(lambda rows: _search_block(rows, k), "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    dealt = q.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(numbers - 1).cast("long"))))
+    # both sides grow with the corpus: always merged, never broadcast
+    both = dealt.join(c.hint("merge"), ["dim", "deal"])
+    best = both.mapInArrow(lambda rows: _search_block(rows, k), _FOUND)
+    w = Window.partitionBy("query_id").orderBy(F.desc("beyond"), F.desc("digits"), F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestream.llm import topk
 
@@ -37,6 +38,27 @@ def test_large_whole_numbers(spark):
     assert run(spark, vectors, vectors) == brute(vectors, vectors, 5)
 
 
+def test_scores_beyond_long(spark):
+    vectors = [(i, [float(x), 1.0]) for i, x in enumerate([1e30, 2e30, 1e300, -1e30, -3e300, 5.0, 4e18])]
+    want = {(q, n, i, s if -2**63 <= s < 2**63 else None) for q, n, i, s in brute(vectors, vectors, 6)}
+    assert run(spark, vectors, vectors, 6) == want
+    got = spark.createDataFrame([([1e30, -1e17, -0.001],)], "embedding array<double>").select(topk.scaled("embedding").alias("v")).first().v
+    assert got == [256e30, -256e17, -1.0]
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(i, [float(i)], i) for i in range(9)], "vec_id long, vector array<double>, id long")
+    for name in ("v", "dim", "deal", "c_block", "rank", "score", "digits"):
+        rows = rows.withColumn(name, F.lit(1))
+    assert topk.top_k(rows, rows, 2).count() == 18
+
+
+def test_blocks_are_dealt_by_number(spark):
+    rows = spark.createDataFrame([(i, [float(i)]) for i in range(9)], "vec_id long, vector array<double>")
+    plan = topk.top_k(rows, rows)._jdf.queryExecution().toString()
+    assert "SortMergeJoin [dim#" in plan and "deal#" in plan.split("SortMergeJoin")[-1].split("\n")[0]
+
+
 def test_stops_early():
     rng = np.random.default_rng(1)
     block = np.round(rng.normal(size=(4096, 2)) * 100)
