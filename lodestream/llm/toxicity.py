@@ -9,15 +9,20 @@ that go with the label, all others aren't. Forward-backward gives each token's
 marginal; a document's score is a logistic function, fitted to the document
 labels, of its highest marginal, the sum of its marginals and their share.
 
-Fitting uses SAMPLE_ROWS documents of either label at most, those of least hash,
-without any of over SAMPLE_CHARS characters, so the driver holds a bounded
-sample; rows of a class count as many as they stand for. Everything else covers all data: each whole text is scored.
+Fitting uses a bounded sample, which the driver holds: of either label the
+documents of least hash, SAMPLE_ROWS at most, as long as they have no more than
+SAMPLE_CHARS characters together. Near copies of a sampled text count once, as
+chance words of a much copied text would pass for signs of its label. Tokens are
+fitted in pieces of _SEGMENT, each begun like a text; scoring doesn't cut. Rows
+of a class count as many as they stand for. Everything else covers all data:
+each whole text is scored.
 
 Defined cases: null and empty texts have no tokens and get the score that an
 empty document gets; labels that are null or neither 0 nor 1 aren't learnt from;
 an id with both labels counts as toxic; without any usable label every score is
 0, with one class alone it is that class; repeated rows get equal scores; an
-empty table gives no rows; other columns are kept by `with_toxicity`.
+empty table gives no rows; other columns are kept by `with_toxicity`, but that
+one called out_col is replaced.
 """
 
 from __future__ import annotations
@@ -28,13 +33,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.llm.common import crc_mod, small_batches, table
 
-#: Most documents of a label, and most characters of a document, to learn from.
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 200_000
+#: Most documents of a label to learn from, and most characters of all of these.
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 12_000_000
 FEATURES = 1 << 18
 #: A word goes with the label from this many toxic documents, this log ratio and this log-likelihood statistic on.
 LEAST_DOCS, LEAST_RATIO, LEAST_G = 3, 1.5, 24.0
@@ -291,7 +296,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, keep=None, id_col: str = "doc_id"
         picked = some if picked is None else picked.union(some)
     # 2 * rows pairs of numbers at most
     sample = docs.select(F.col(id_col).alias("tox_of"), F.coalesce(F.col(text_col), F.lit("")).alias("tox_text")).join(
-        F.broadcast(picked), F.col("tox_of") == F.col("tox_id")).where(F.length("tox_text") <= SAMPLE_CHARS).select("tox_of", "tox_text", "tox_label").collect()
+        F.broadcast(picked), F.col("tox_of") == F.col("tox_id"))
+    upto = Window.partitionBy("tox_label").orderBy(F.xxhash64("tox_id"), "tox_id", F.xxhash64("tox_text")).rowsBetween(Window.unboundedPreceding, 0)
+    sample = sample.withColumn("tox_chars", F.sum(F.length("tox_text").cast("long")).over(upto)).where(F.col("tox_chars") <= SAMPLE_CHARS).select("tox_of", "tox_text", "tox_label").collect()
     sample.sort()
     y = np.array([r.tox_label for r in sample], np.int64)
     share = {k: totals[k] / max(1, int((y == k).sum())) for k in totals}
