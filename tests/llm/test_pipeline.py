@@ -3,7 +3,7 @@ from collections import Counter
 
 import corpus_pipeline
 from lodestream.llm import toxicity
-from tests.llm import test_decontaminate, test_mixing, test_simhash, test_token_files
+from tests.llm import test_decontaminate, test_mixing, test_near_copies, test_token_files
 
 
 def test_stages_against_brute_force(spark):
@@ -21,7 +21,7 @@ def test_stages_against_brute_force(spark):
     rows = [r for i, r in sorted(before.items()) if i not in toxic]
     assert {r.doc_id for r in outs["toxicity"]} == {r.doc_id for r in rows}
 
-    groups = test_simhash.brute([test_simhash.plain(r.text) for r in rows])
+    groups = test_near_copies.brute([r.text for r in rows])
     rows = [r for k, r in enumerate(rows) if groups[k] == k]
     assert sorted(r.doc_id for r in outs["simhash_near_dedup"]) == [r.doc_id for r in rows]
 
