@@ -46,12 +46,13 @@ from lodestream.llm.common import small_batches, stored, table
 #: Least words of a repeated run of lines, and of a repeated run of words.
 MIN_WORDS, RUN_WORDS = 12, 50
 #: Words whose hash is a unit of winnowing.
-GRAM = 12
+GRAM = 8
 #: Slots of the table that tells which documents have no place worth a look; its size is fixed.
 SLOTS = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_MARKS = "ld_id long, ld_hash long, ld_lines boolean, ld_fp long, ld_run long, ld_at int, ld_first int, ld_last int"
+#: ld_span: first word of a stretch, the word after it, and whether it is of lines, in 32, 31 and 1 bits.
+_MARKS = "ld_id long, ld_hash long, ld_fp long, ld_run long, ld_span long"
 _CALL_BYTES = 1 << 20
 _BASE, _OTHER, _BYTES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
 
@@ -126,11 +127,11 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def word_marks(hashes: np.ndarray, doc: np.ndarray, run: int = RUN_WORDS, gram: int = GRAM):
-    """(fingerprint, hash of the stretch, place, stretch's first and end) of the words of several texts; doc: number of each word's text."""
+    """(fingerprint, hash of the stretch, its first and end) of the words of several texts; doc: number of each word's text."""
     gram = min(gram, run)
     n = len(hashes) - run + 1
     if n < 1:
-        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
     grams = _Runs(hashes, _BASE)
     start = np.arange(len(hashes) - gram + 1)
     fp = grams.of(start, start + gram)
@@ -141,11 +142,11 @@ def word_marks(hashes: np.ndarray, doc: np.ndarray, run: int = RUN_WORDS, gram:
     place, first = chosen[new], whole[new]
     end = whole[np.append(new[1:], len(whole))[:len(new)] - 1] + run
     stretch = _Runs(hashes, _OTHER).of(first, end)
-    return fp[place], _mixed(stretch + (place - first).astype(np.uint64)), place, first, end
+    return fp[place], _mixed(stretch + (place - first).astype(np.uint64)), first, end
 
 
 def line_marks(hashes: np.ndarray, begin: np.ndarray, doc: np.ndarray, min_words: int):
-    """(fingerprint, hash of the window, its place, first and last line) of each window of lines.
+    """(fingerprint, hash of the window, first and last line) of each window of lines.
 
     begin: first word of each line, and the end; doc: number of each line's text.
     Windows are the shortest runs of min_words words from each line on and up to each line.
@@ -164,19 +165,19 @@ def line_marks(hashes: np.ndarray, begin: np.ndarray, doc: np.ndarray, min_words
         less = hashes[a[inside] + k] <= hashes[at[inside]]
         at[inside[less]] = a[inside[less]] + k
     run = _Runs(hashes, _OTHER).of(a, b + 1)
-    return hashes[at], _mixed(run + (at - a).astype(np.uint64) + np.uint64(1)), at, a, b
+    return hashes[at], _mixed(run + (at - a).astype(np.uint64) + np.uint64(1)), a, b
 
 
 def marks_of(texts: list[bytes], min_words: int, run_words: int):
-    """(text's number, of lines, fingerprint, run hash, place, first, end), as arrays."""
+    """(text's number, fingerprint, run hash, first, end, of lines), as arrays."""
     w = words_of(texts)
-    fp, run, place, first, end = word_marks(w.hashes, w.doc, run_words)
+    fp, run, first, end = word_marks(w.hashes, w.doc, run_words)
     of_line = w.doc[w.lines[:-1]]
-    line_fp, line_run, at, a, b = line_marks(w.line_hashes, w.lines, of_line, min_words)
+    line_fp, line_run, a, b = line_marks(w.line_hashes, w.lines, of_line, min_words)
     of = np.concatenate([of_line[a], w.doc[first]])
     back = w.first[of]
     both = lambda x, y: np.concatenate([x, y])
-    return (of, np.arange(len(of)) < len(a), both(line_fp, fp), both(line_run, run), both(w.lines[at], place) - back, both(w.lines[a], first) - back, both(w.lines[b + 1], end) - back)
+    return of, both(line_fp, fp), both(line_run, run), both(w.lines[a], first) - back, both(w.lines[b + 1], end) - back, np.arange(len(of)) < len(a)
 
 
 def _pieces(batches):
@@ -192,12 +193,11 @@ def _pieces(batches):
 
 def _emit(batches, min_words, run_words):
     for batch, texts in _pieces(batches):
-        of, lines, fp, run, at, first, end = marks_of(texts, min_words, run_words)
+        of, fp, run, first, end, lines = marks_of(texts, min_words, run_words)
         take = pa.array(of)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("ld_id").take(take), batch.column("ld_hash").take(take), pa.array(lines), pa.array(fp.view(np.int64)), pa.array(run.view(np.int64)),
-             *(pa.array(x.astype(np.int32)) for x in (at, first, end))],
-            names=["ld_id", "ld_hash", "ld_lines", "ld_fp", "ld_run", "ld_at", "ld_first", "ld_last"])
+            [batch.column("ld_id").take(take), batch.column("ld_hash").take(take), pa.array(fp.view(np.int64)), pa.array(run.view(np.int64)), pa.array(first << 32 | end << 1 | lines)],
+            names=["ld_id", "ld_hash", "ld_fp", "ld_run", "ld_span"])
 
 
 def _emit_windows(batches, run_words):
@@ -245,19 +245,23 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int =
     # all sides grow with the corpus: always merged, never broadcast
     often = marks.groupBy("ld_fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ld_fp")
     shared = stored(marks.join(often.hint("merge"), "ld_fp"), "line-shared")
-    place = F.struct("ld_id", "ld_hash", "ld_first", "ld_last", "ld_at")
+    place = F.struct("ld_id", "ld_hash", "ld_span")
     runs = stored(shared.groupBy("ld_fp", "ld_run").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")), "line-runs")
-    several = runs.groupBy("ld_fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("ld_fp")
+    first = lambda span: F.shiftright(span, 32).cast("int")
+    last = lambda span: F.shiftright(F.col(span).bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
+    of_lines = lambda span: F.col(span).bitwiseAND(F.lit(1).cast("long")) == 1
 
     here = (F.col("ld_id").eqNullSafe(F.col("p.ld_id")) & (F.col("ld_hash") == F.col("p.ld_hash")))
-    again = ~here | F.when(F.col("ld_lines"), F.col("ld_first") > F.col("p.ld_first")).otherwise(F.col("ld_first") - F.col("p.ld_first") >= run_words)
+    step = first("ld_span") - first("p.ld_span")
+    again = ~here | F.when(of_lines("ld_span"), step > 0).otherwise(step >= run_words)
     seen = shared.join(runs.where("n > 1").select("ld_fp", "ld_run", "p").hint("merge"), ["ld_fp", "ld_run"]).withColumn("ld_again", again)
-    whole = seen.where("ld_again").select("ld_id", "ld_hash", "ld_first", "ld_last")
+    whole = seen.where("ld_again").select("ld_id", "ld_hash", first("ld_span").alias("ld_first"), last("ld_span").alias("ld_last"))
 
-    # the first place of each stretch, and those that overlap it, of fingerprints with several stretches
-    firsts = runs.where("n = 1").select("ld_fp", "p.*").unionByName(seen.where("not ld_again").select("ld_fp", "ld_id", "ld_hash", "ld_first", "ld_last", "ld_at")).distinct()
-    wanted = stored(firsts.where(F.col("ld_last") - F.col("ld_first") >= run_words).join(several.hint("merge"), "ld_fp")
-                    .groupBy("ld_id", "ld_hash").agg(F.collect_list(F.struct(F.col("ld_fp").alias("fp"), F.col("ld_first").alias("first"), F.col("ld_last").alias("last"))).alias("ld_wanted")), "line-wanted")
+    # of fingerprints with several stretches of words, the first place of each stretch and those that overlap it
+    several = runs.where(~of_lines("p.ld_span")).groupBy("ld_fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("ld_fp")
+    firsts = runs.where("n = 1").select("ld_fp", "p.*").unionByName(seen.where("not ld_again").select("ld_fp", "ld_id", "ld_hash", "ld_span")).where(~of_lines("ld_span")).distinct()
+    one = F.struct(F.col("ld_fp").alias("fp"), first("ld_span").alias("first"), last("ld_span").alias("last"))
+    wanted = stored(firsts.join(several.hint("merge"), "ld_fp").groupBy("ld_id", "ld_hash").agg(F.collect_list(one).alias("ld_wanted")), "line-wanted")
     some, _ = _split(docs, wanted)
     held = some.join(_renamed(wanted).hint("merge"), _of_document(wanted)).dropDuplicates(["ld_id", "ld_hash"]).select("ld_id", "ld_hash", "ld_text", "ld_wanted")
     found = stored(held.mapInArrow(lambda b: _emit_windows(b, run_words), "ld_id long, ld_hash long, ld_fp long, ld_run long, ld_first int"), "line-windows")

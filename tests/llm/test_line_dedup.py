@@ -89,9 +89,9 @@ def test_fingerprints_decide(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(docs)), "ld_id long, ld_text string").selectExpr("*", "xxhash64(ld_text) ld_hash")
     emit = line_dedup._emit
     assert line_dedup.repeated_runs(rows, 5, 9).count() > 0
-    marks = lambda: [m for t in docs for m in whole([t.encode()], 5, 9)[2].tolist()]
+    marks = lambda: [m for t in docs for m in whole([t.encode()], 5, 9)[1].tolist()]
     assert max(Counter(marks()).values()) > 1
-    lone = lambda batches, *a: (b.set_column(3, "ld_fp", pa.array(np.arange(b.num_rows) + 10**6 * np.array(b.column("ld_id").to_pylist(), np.int64))) for b in emit(batches, *a))
+    lone = lambda batches, *a: (b.set_column(2, "ld_fp", pa.array(np.arange(b.num_rows) + 10**6 * np.array(b.column("ld_id").to_pylist(), np.int64))) for b in emit(batches, *a))
     monkeypatch.setattr(line_dedup, "_emit", lone)
     assert line_dedup.repeated_runs(rows, 5, 9).count() == 0
 
