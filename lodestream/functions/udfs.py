@@ -1,6 +1,7 @@
-"""User-defined functions of each kind. Built-in functions are to be preferred; these show the way where none will do."""
+"""User-defined functions of each kind. Built-in functions are to be preferred; these show the way where none will do.
 
-from __future__ import annotations
+Each is made on demand, as making one asks for a session.
+"""
 
 from collections.abc import Iterator
 
@@ -31,29 +32,35 @@ def luhn_by_arrow():
     return F.udf(luhn_digit, "int", useArrow=True)
 
 
-@F.pandas_udf("double")
-def clipped(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def clipped():
     """Values within 0 to 100."""
-    for v in values:
-        yield v.clip(0.0, 100.0)
+    def clip(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in values:
+            yield v.clip(0.0, 100.0)
+    return F.pandas_udf(clip, "double")
 
 
-@F.arrow_udf("long")
-def byte_length(texts: pa.Array) -> pa.Array:
+def byte_length():
     """Bytes of a text in UTF-8; null for null."""
-    return pc.cast(pc.binary_length(pc.cast(texts, pa.binary())), pa.int64())
+    def length(texts: pa.Array) -> pa.Array:
+        return pc.cast(pc.binary_length(pc.cast(texts, pa.binary())), pa.int64())
+    return F.arrow_udf(length, "long")
 
 
-@F.pandas_udf("double")
-def trimmed_mean(values: pd.Series) -> float:
+def trimmed_mean():
     """The mean without the least and the greatest value; an aggregate of groups that fit a task."""
-    return float(values.sort_values().iloc[1:-1].mean()) if len(values) > 2 else None
+    def mean(values: pd.Series) -> float:
+        return float(values.sort_values().iloc[1:-1].mean()) if len(values) > 2 else None
+    return F.pandas_udf(mean, "double")
 
 
-@F.udtf(returnType="part string, place int")
 class Pieces:
     """One row for each piece of a text between separators."""
 
     def eval(self, text: str, separator: str):
         for i, x in enumerate(text.split(separator) if text is not None else ()):
             yield x, i
+
+
+def pieces():
+    return F.udtf(Pieces, returnType="part string, place int")

@@ -8,6 +8,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def ranked(df: DataFrame, by: list[str], column: str, out: str) -> DataFrame:
@@ -23,10 +24,12 @@ def nearest_before(left: DataFrame, right: DataFrame, on: str, by: str, value: s
     def join(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):  # an absent group has no columns either
             return a.assign(**{value: None})[[by, on, value]] if len(a) else pd.DataFrame(columns=[by, on, value])
-        found = pd.merge_asof(a.sort_values(on, kind="stable"), b[[on, value]].sort_values([on, value], kind="stable"), on=on)
-        return found[[by, on, value]]
+        b = b[["right_on", "right_value"]].set_axis([on, value], axis=1).sort_values([on, value], kind="stable")
+        return pd.merge_asof(a.sort_values(on, kind="stable"), b, on=on)[[by, on, value]]
     schema = f"{by} {left.schema[by].dataType.simpleString()}, {on} {left.schema[on].dataType.simpleString()}, {value} {right.schema[value].dataType.simpleString()}"
-    return left.select(by, on).groupBy(by).cogroup(right.select(by, on, value).groupBy(by)).applyInPandas(join, schema)
+    # names of its own, as both may come from one table
+    r = right.select(F.col(by).alias("right_by"), F.col(on).alias("right_on"), F.col(value).alias("right_value"))
+    return left.select(by, on).groupBy(by).cogroup(r.groupBy("right_by")).applyInPandas(join, schema)
 
 
 def without_outliers(df: DataFrame, column: str, low: float, high: float) -> DataFrame:

@@ -27,24 +27,24 @@ def udf_by_arrow(spark, sf_dir):
 
 @query("SELECT event_id, least(greatest(value, 0), 100)::DOUBLE AS clipped FROM events")
 def pandas_udf(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", udfs.clipped("value").alias("clipped"))
+    return table(spark, sf_dir, "events").select("event_id", udfs.clipped()("value").alias("clipped"))
 
 
 @query("SELECT doc_id, strlen(text)::BIGINT AS n_bytes FROM documents")
 def arrow_udf(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", udfs.byte_length("text").alias("n_bytes"))
+    return table(spark, sf_dir, "documents").select("doc_id", udfs.byte_length()("text").alias("n_bytes"))
 
 
 @query("""
 SELECT l_orderkey, CASE WHEN count(*) > 2 THEN round((sum(l_quantity) - min(l_quantity) - max(l_quantity)) / (count(*) - 2), 6) END AS mean FROM lineitem GROUP BY l_orderkey""")
 def udaf(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(udfs.trimmed_mean("l_quantity"), 6).alias("mean"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(udfs.trimmed_mean()("l_quantity"), 6).alias("mean"))
 
 
 @query("SELECT page_id, unnest(string_split(url, '/')) AS part, (generate_subscripts(string_split(url, '/'), 1) - 1)::INTEGER AS place FROM pages")
 def udtf(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return pages.lateralJoin(udfs.Pieces(F.col("url").outer(), F.lit("/"))).select("page_id", "part", "place")
+    return pages.lateralJoin(udfs.pieces()(F.col("url").outer(), F.lit("/"))).select("page_id", "part", "place")
 
 
 @query("""
