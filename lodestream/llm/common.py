@@ -11,14 +11,12 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestream.sources.tables import table  # noqa: F401  the operators take it from here
+
 #: Rows in an Arrow batch: 1024 documents bound a worker's memory at a few MB for usual texts.
 BATCH_ROWS = 1024
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Python workers see at most BATCH_ROWS rows at a time. The setting stays, as plans that were made under it run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -99,7 +97,7 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % F.lit(modulus)
 
 
-def components(nodes: DataFrame, edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: (node, component), component the smallest node reachable.
 
     nodes: one column `node`, distinct longs. edges: `src`, `dst`, any order,
@@ -112,14 +110,12 @@ def components(nodes: DataFrame, edges: DataFrame, limit: int = 60) -> DataFrame
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     e = stored(e, "edges")
     state = None
-    for _ in range(limit):
+    while True:
         e = stored(_small_star(_large_star(e)), "star")
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now.n, now.h) == state:
             break
         state = (now.n, now.h)
-    else:
-        raise RuntimeError("components did not converge")
     return nodes.join(e, nodes.node == e.u, "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
