@@ -1,5 +1,9 @@
 """Every registered query with SQL against DuckDB, names, types and values."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -40,3 +44,8 @@ def test_entry(spark):
 
 def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_imports_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, check=True)
