@@ -1,5 +1,6 @@
 import hashlib
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -46,3 +47,8 @@ def test_odd_rows(odd, empty, clashing):
     assert Counter((r.doc_id, r.source) for r in got) == expected([(r.doc_id, r.source) for r in odd.collect()])
     assert mixing.mix(empty).collect() == []
     assert set(clashing.columns) < set(mixing.mix(clashing).columns)
+
+
+def test_plan_is_native(spark, sf_dir):
+    plan = mixing.op3_poisson_mix(spark, sf_dir)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan) and "RDD" not in plan

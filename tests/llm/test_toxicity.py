@@ -1,4 +1,5 @@
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -53,3 +54,32 @@ def test_spans_are_code_points():
     text = "É, \"SCUM\" ici"
     _, found = toxicity._score_texts([text], model, toxicity._Emissions(model), True)
     assert [text[s["start"]:s["end"]] for s in found[0]] == ["SCUM"]
+
+
+def test_scores_against_enumeration():
+    """Score and spans of short texts, from the model's numbers and all ways to tag their tokens."""
+    rng = np.random.default_rng(4)
+    prose = [" ".join(f"w{k}" for k in rng.integers(0, 60, 12)) + (" vile scum" if i % 2 else "") for i in range(120)]
+    model = toxicity.fit(prose, np.arange(120) % 2, np.ones(120))
+    for text in ["w1 scum w2 vile", "scum", "", "w5 w6 w7 w8 w9", "vile vile SCUM w1", "w3, x-y zz"]:
+        words = re.findall(r"[0-9a-z]+", text.lower())
+        e = [sum(float(model.weights[f]) for f in toxicity._features(w.encode(), model.ratios)) for w in words]
+        weigh = {}
+        for tags in itertools.product((0, 1), repeat=len(words)):
+            s = sum(x for t, x in zip(tags, e) if t) + (model.start * tags[0] if tags else 0) + sum(model.pairs[a, b] for a, b in zip(tags, tags[1:]))
+            weigh[tags] = np.exp(s)
+        p = [sum(v for t, v in weigh.items() if t[i]) / sum(weigh.values()) for i in range(len(words))]
+        x = np.array([1, max(p, default=0), np.log1p(sum(p)), sum(p) / len(p) if p else 0])
+        score, spans = toxicity._score_texts([text], model, toxicity._Emissions(model), True)
+        assert score[0] == pytest.approx(1 / (1 + np.exp(-x @ model.logistic)), rel=1e-6)
+        assert [text[s["start"]:s["end"]].lower() for s in spans[0]] == [w for w, q in zip(words, p) if q >= 0.5]
+
+
+def test_sample_is_bounded_in_characters(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 400)
+    rows = [(i, ("scum " if i % 2 else "fine ") * 20, i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, weights: seen.append((len(texts), labels.tolist())))
+    toxicity.fit_on(docs.drop("toxic"), docs.drop("text"))
+    assert seen == [(8, [*seen[0][1]])] and sum(seen[0][1]) == 4
