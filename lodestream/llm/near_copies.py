@@ -144,7 +144,7 @@ def _search(batches, similarity):
 
 def _candidates(classes: DataFrame) -> DataFrame:
     """(node, size, id, hash, component, chunk, chunks): the classes that share bands with others."""
-    keys = classes.select("node", F.explode(F.slice("keys", 3, BANDS)).alias("key"))
+    keys = classes.select("node", F.explode(F.slice("keys", 3, F.size("keys"))).alias("key"))  # all bands
     sized = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo")).where("n > 1"), "near-bands")
     # both sides grow with the corpus: always merged, never broadcast
     star = stored(keys.join(sized.select("key", "lo").hint("merge"), "key").where("node <> lo").select(F.col("node").alias("src"), F.col("lo").alias("dst")).distinct(), "near-star")
