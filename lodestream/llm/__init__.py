@@ -10,7 +10,7 @@ from importlib import import_module
 _MODULES = (
     "lm_score", "toxicity", "mixing", "line_dedup", "decontaminate",
     "licences", "simhash", "topk", "token_files", "secrets",
-    "superminhash",
+    "vector_codes", "token_alignment", "superminhash",
 )
 
 
