@@ -141,10 +141,3 @@ def aggregates(spark, sf_dir):
         F.count_distinct("l_partkey").alias("n_parts"), F.min("l_shipdate").alias("first_ship"),
         F.max_by("l_orderkey", F.col("l_extendedprice") * 1000000 + F.col("l_orderkey")).alias("best"), F.count(F.lit(1)).alias("n"))
         .where("n > 20").drop("n"))
-
-
-@query("""
-WITH RECURSIVE r(k, total) AS (SELECT 1::BIGINT, 1::BIGINT UNION ALL SELECT k + 1, total + k + 1 FROM r WHERE k < 30)
-SELECT k, total FROM r""")
-def recursive(spark, sf_dir):
-    return spark.sql("WITH RECURSIVE r(k, total) AS (SELECT 1L, 1L UNION ALL SELECT k + 1L, total + k + 1L FROM r WHERE k < 30) SELECT k, total FROM r")
