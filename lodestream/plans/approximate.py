@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestream.operators import recursion, sampling, sketches
+from lodestream.operators import neighbours, recursion, sampling, sketches
 from lodestream.plans.registry import query
 from lodestream.sources.shared import new_path
 from lodestream.sources.tables import table
@@ -96,3 +96,35 @@ def order_chains(spark, sf_dir):
     following = orders.where(near).select(F.col("o_orderkey").alias("next"), "before")
     step = lambda d: d.join(following, d["o_orderkey"] == following["before"]).select(F.col("next").alias("o_orderkey"), "root")
     return recursion.fixpoint(start, step, ["o_orderkey"]).select("o_orderkey", "root", F.col("round").cast("int").alias("round"))
+
+
+def _inverted_file(spark, sf_dir, k=10, recall=0.9):
+    """The embeddings' index, its centroids, queries (ids that 100 divides) and calibrated probes."""
+    rows = neighbours.unit(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    queries = rows.where("vec_id % 100 = 0")
+    centroids = neighbours.train(rows)
+    index = neighbours.build(rows, centroids, new_path(spark, "inverted-file"))
+    return index, centroids, queries, neighbours.calibrated(index, centroids, queries, k, recall)
+
+
+@query()
+def nearest_neighbours(spark, sf_dir):
+    """Ten near embeddings for each query, and the rows looked at; which ones depends on the cells, so SQL checks the recall instead."""
+    index, centroids, queries, probes = _inverted_file(spark, sf_dir)
+    found = neighbours.search(index, centroids, queries, 10, probes)
+    return found.join(neighbours.scanned(index, centroids, queries, probes), "query_id")
+
+
+@query("""
+WITH q AS (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0)
+SELECT count(*) AS n_queries, (10 * count(*))::BIGINT AS n_found, true AS recall_reached, true AS scanned_less FROM q""")
+def neighbour_recall(spark, sf_dir):
+    """Of all queries' true ten nearest, whether nine tenths were found, and whether that took fewer rows than there are."""
+    index, centroids, queries, probes = _inverted_file(spark, sf_dir)
+    found = neighbours.search(index, centroids, queries, 10, probes).select("query_id", "vec_id", F.lit(1).alias("found"))
+    both = neighbours.exact(index, queries, 10).join(found, ["query_id", "vec_id"], "full")
+    looked = neighbours.scanned(index, centroids, queries, probes).agg(F.sum("n_scanned").alias("n")).first().n or 0
+    every = index.count()
+    return both.agg(F.count_distinct("query_id").alias("n_queries"), F.count("found").alias("n_found"),
+                    (F.count_if(F.col("found").isNotNull() & F.col("rank").isNotNull()) >= 0.9 * F.count("rank")).alias("recall_reached"),
+                    (F.lit(looked) < F.count_distinct("query_id") * F.lit(every)).alias("scanned_less"))
