@@ -10,8 +10,9 @@ marginal; a document's score is a logistic function, fitted to the document
 labels, of its highest marginal, the sum of its marginals and their share.
 
 Fitting uses a bounded sample, which the driver holds: of either label the
-documents of least hash, SAMPLE_ROWS at most, as long as they have no more than
-SAMPLE_CHARS characters together. Near copies of a sampled text count once, as
+documents of least hash, SAMPLE_ROWS at most, until they have SAMPLE_CHARS
+characters together, and of each no more than SAMPLE_TEXT, so that a very long text
+can't crowd out its label. Near copies of a sampled text count once, as
 chance words of a much copied text would pass for signs of its label. Tokens are
 fitted in pieces of _SEGMENT, each begun like a text; scoring doesn't cut. Rows
 of a class count as many as they stand for. Everything else covers all data:
@@ -40,6 +41,8 @@ from lodestream.llm.common import crc_mod, small_batches, table
 
 #: Most documents of a label to learn from, and most characters of all of these.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 12_000_000
+#: Characters of one text that the fit sees; scores are of whole texts.
+SAMPLE_TEXT = 240_000
 FEATURES = 1 << 18
 #: A word goes with the label from this many toxic documents, this log ratio and this log-likelihood statistic on.
 LEAST_DOCS, LEAST_RATIO, LEAST_G = 3, 1.5, 24.0
@@ -297,8 +300,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, keep=None, id_col: str = "doc_id"
     # 2 * rows pairs of numbers at most
     sample = docs.select(F.col(id_col).alias("tox_of"), F.coalesce(F.col(text_col), F.lit("")).alias("tox_text")).join(
         F.broadcast(picked), F.col("tox_of") == F.col("tox_id"))
-    upto = Window.partitionBy("tox_label").orderBy(F.xxhash64("tox_id"), "tox_id", F.xxhash64("tox_text")).rowsBetween(Window.unboundedPreceding, 0)
-    sample = sample.withColumn("tox_chars", F.sum(F.length("tox_text").cast("long")).over(upto)).where(F.col("tox_chars") <= SAMPLE_CHARS).select("tox_of", "tox_text", "tox_label").collect()
+    # one text of each id, so that the window has as many rows as were picked at most
+    sample = sample.groupBy("tox_id").agg(F.first("tox_label").alias("tox_label"), F.min(F.struct(F.xxhash64("tox_text"), F.substring("tox_text", 1, SAMPLE_TEXT).alias("text"))).alias("tox_least"))
+    sample = sample.select("tox_id", "tox_label", F.col("tox_least.text").alias("tox_text"), F.length("tox_least.text").cast("long").alias("tox_length"))
+    upto = Window.partitionBy("tox_label").orderBy(F.xxhash64("tox_id"), "tox_id").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.sum("tox_length").over(upto) - F.col("tox_length")
+    sample = sample.withColumn("tox_before", before).where(F.col("tox_before") < SAMPLE_CHARS).select("tox_id", "tox_text", "tox_label").collect()
     sample.sort()
     y = np.array([r.tox_label for r in sample], np.int64)
     share = {k: totals[k] / max(1, int((y == k).sum())) for k in totals}

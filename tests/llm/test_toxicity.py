@@ -83,3 +83,17 @@ def test_sample_is_bounded_in_characters(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit", lambda texts, labels, weights: seen.append((len(texts), labels.tolist())))
     toxicity.fit_on(docs.drop("toxic"), docs.drop("text"))
     assert seen == [(8, [*seen[0][1]])] and sum(seen[0][1]) == 4
+
+
+def test_a_long_text_does_not_empty_its_label(spark, monkeypatch):
+    """Whichever comes first by hash: a text longer than the bound is cut for the fit, and others of its label follow."""
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 4000)
+    monkeypatch.setattr(toxicity, "SAMPLE_TEXT", 500)
+    rng = np.random.default_rng(4)
+    prose = [" ".join(f"w{k}" for k in rng.integers(0, 60, 12)) + (" vile scum" if i % 2 else "") for i in range(160)]
+    for long in (1, 3, 5, 7):
+        rows = [(i, t * 200 if i == long else t, i % 2) for i, t in enumerate(prose)]
+        docs = spark.createDataFrame([*rows, rows[long], (long, "another text of this id", 1)], "doc_id long, text string, toxic int")
+        model = toxicity.fit_on(docs.drop("toxic"), docs.drop("text"))
+        got = toxicity.with_toxicity(docs.where("text not like 'another%'"), model).collect()
+        assert sum((r.toxicity.score > 0.5) == bool(r.doc_id % 2) for r in got) > 150
