@@ -14,8 +14,9 @@ size is under the session's limit, else it shuffles and splits hot sources.
 Defined cases: a null source is a source of its own; a null id hashes as empty
 text; rows with equal ids get equal counts; a source without a weight (or with a
 weight of zero, or null) is left out when weights are given; texts are not
-looked at, so null, empty and long ones pass; all columns are kept, and only
-out_copy, out_key and names that begin with mix_ are taken; an empty table gives no rows.
+looked at, so null, empty and long ones pass; all columns are kept, whatever their
+names, but those named as out_copy and out_key, which are replaced; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,16 +64,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
         out_copy: str = "copy", out_key: str = "shuffle_key") -> DataFrame:
     """docs, each row as often as its draw says, with out_copy (from 1) and out_key, globally shuffled by out_key."""
     rates = target_rates(docs, source_col, weights, total, power)
-    d = docs.withColumn("mix_source_of", F.col(source_col))
+    # a row in one struct: the caller's names stay out of the way
+    d = docs.select(F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source_of"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("mix_row"))
     joined = d.join(rates, F.col("mix_source_of").eqNullSafe(F.col("mix_source")))
     draws = F.aggregate(
         F.sequence(F.lit(1), F.col("mix_pieces")), F.lit(0),
-        lambda n, i: n + F.size(F.filter("mix_cdf", lambda c: c <= _uniform(seed, F.col(id_col), i))))
-    copies = joined.withColumn("mix_n", draws).where("mix_n > 0")
-    copies = copies.withColumn(out_copy, F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
-    key = F.md5(F.concat_ws(":", F.lit(f"{seed}s"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(out_copy).cast("string")))
-    columns = [F.col(c) for c in docs.columns] + [F.col(out_copy)]
-    return copies.select(*columns, key.alias(out_key)).repartition(F.col(out_key)).sortWithinPartitions(out_key)
+        lambda n, i: n + F.size(F.filter("mix_cdf", lambda c: c <= _uniform(seed, F.col("mix_id"), i))))
+    copies = joined.select("mix_id", "mix_row", draws.alias("mix_n")).where("mix_n > 0")
+    copies = copies.select("mix_id", "mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("mix_copy"))
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}s"), F.coalesce(F.col("mix_id").cast("string"), F.lit("")), F.col("mix_copy").cast("string")))
+    kept = [F.col("mix_row")[c].alias(c) for c in docs.columns if c.lower() not in (out_copy.lower(), out_key.lower())]
+    return copies.select(*kept, F.col("mix_copy").alias(out_copy), key.alias(out_key)).repartition(F.col(f"`{out_key}`")).sortWithinPartitions(f"`{out_key}`")
 
 
 def op3_poisson_mix(spark, sf_dir):

@@ -49,6 +49,20 @@ def test_odd_rows(odd, empty, clashing):
     assert set(clashing.columns) < set(mixing.mix(clashing).columns)
 
 
+def test_columns_of_any_name_are_kept(odd):
+    from pyspark.sql import functions as F
+    taken = ["mix_n", "mix_source", "mix_rate", "mix_pieces", "mix_cdf", "mix_id", "mix_row", "mix_copy", "mix_source_of", "of", "a.b"]
+    docs = odd
+    for name in taken:
+        docs = docs.withColumn(name, F.lit(7))
+    got = mixing.mix(docs)
+    assert got.columns == [*docs.columns, "copy", "shuffle_key"]
+    assert all(r[name] == 7 for r in got.collect() for name in taken)
+    assert Counter((r.doc_id, r.source) for r in got.collect()) == expected([(r.doc_id, r.source) for r in odd.collect()])
+    replaced = mixing.mix(odd.withColumn("Copy", F.lit(70)))
+    assert replaced.columns == [*odd.columns, "copy", "shuffle_key"] and {r.copy for r in replaced.collect()} < set(range(20))
+
+
 def test_plan_is_native(spark, sf_dir):
     plan = mixing.op3_poisson_mix(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and "RDD" not in plan
