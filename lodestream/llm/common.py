@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestream.sources.shared import app_dir, shared_dir  # noqa: F401
 from lodestream.sources.tables import table  # noqa: F401  the operators take it from here
 
 #: Rows in an Arrow batch: 1024 documents bound a worker's memory at a few MB for usual texts.
@@ -22,30 +20,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir. Where it is unset, one of this process if that is the only machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
-        own = tempfile.mkdtemp(prefix="lodestream-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        folder = "file://" + own
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 #: Folders that own_path puts new paths in, the innermost last.
 _SCOPES: list[str] = []
 
 
-def _app_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/lodestream-{spark.sparkContext.applicationId}"
-
-
 def own_path(spark: SparkSession, tag: str) -> str:
     """A new path in this application's part of the shared folder."""
-    return "/".join([_app_dir(spark), *_SCOPES[-1:], f"{tag}-{uuid.uuid4().hex}"])
+    return "/".join([app_dir(spark), *_SCOPES[-1:], f"{tag}-{uuid.uuid4().hex}"])
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -60,12 +41,12 @@ def scratch(spark: SparkSession):
     try:
         yield
     finally:
-        _delete(spark, f"{_app_dir(spark)}/{_SCOPES.pop()}")
+        _delete(spark, f"{app_dir(spark)}/{_SCOPES.pop()}")
 
 
 def clean(spark: SparkSession) -> None:
     """Delete what this application has stored; results that have not been written elsewhere go with it."""
-    _delete(spark, _app_dir(spark))
+    _delete(spark, app_dir(spark))
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
