@@ -74,3 +74,19 @@ def test_many_copies_of_one_vector(spark, tmp_path):
     index = neighbours.build(vectors, centroids, f"{tmp_path}/i")
     assert index.count() == 600
     assert lists(neighbours.search(index, centroids, vectors.where("vec_id = 9"), 4, 1)) == {9: [0, 3, 6, 12]}
+
+
+def test_query_against_all_pairs(spark, sf_dir):
+    from lodestream.plans import approximate
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = approximate.nearest_neighbours(spark, sf_dir).collect()
+    hits = 0
+    for q in ids[ids % 100 == 0]:
+        scores = np.where(ids == q, -9, x @ x[ids == q][0])
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, 11)) and 10 <= mine[0].n_scanned <= len(ids)
+        assert all(abs(r.score - scores[ids == r.vec_id][0]) < 1e-9 for r in mine)
+        hits += len({r.vec_id for r in mine} & set(ids[np.argsort(-scores)[:10]].tolist()))
+    assert hits >= 0.9 * len(got)
