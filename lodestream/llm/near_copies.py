@@ -159,7 +159,7 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, simil
     """(src, dst): links that connect just the classes that pairs at the similarity or above connect."""
     wanted = _candidates(classes)
     texts = docs.select(F.col(id_col).alias("nd_id"), F.xxhash64(text_col).alias("nd_hash"), F.col(text_col).alias("nd_text"))
-    held = texts.join(wanted, (F.col("nd_hash") == F.col("hash")) & F.col("nd_id").eqNullSafe(F.col("id")))
+    held = texts.join(wanted.hint("merge"), (F.col("nd_hash") == F.col("hash")) & F.col("nd_id").eqNullSafe(F.col("id")))
     held = held.select("component", "chunk", "chunks", "node", F.pandas_udf(_sets, "binary")(F.coalesce("nd_text", F.lit(""))).alias("shingles"))
     held = held.dropDuplicates(["node"])  # repeated rows
     lists = stored(held.groupBy("component", "chunk").agg(F.first("chunks").alias("chunks"), F.collect_list(F.struct("node", "shingles")).alias("members")), "near-chunks")
