@@ -54,12 +54,13 @@ def first_of_each(events: DataFrame, keys: list[str], late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", once: bool = False) -> None:
     """Process what is there, into Parquet at path, and stop.
 
+    once: in a single batch. State that goes by processing time asks for it: as time goes on by itself, there is always another batch.
     mode update-by-batch: for what only runs in update mode, whose changed rows are added to path batch by batch.
     """
-    out = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    out = stream.writeStream.option("checkpointLocation", checkpoint).trigger(**({"once": True} if once else {"availableNow": True}))
     if mode == "update-by-batch":
         # a batch that is run again after a failure replaces its own folder
         started = out.outputMode("update").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}")).start()
