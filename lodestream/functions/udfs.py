@@ -3,33 +3,31 @@
 Each is made on demand, as making one asks for a session.
 """
 
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 
-def luhn_digit(number: int | None) -> int | None:
-    """The check digit that makes a number pass the Luhn test; of the absolute value."""
-    if number is None:
-        return None
-    total = 0
-    for i, c in enumerate(reversed(str(abs(number)))):
-        d = int(c) * (1 if i % 2 else 2)
-        total += d - 9 if d > 9 else d
-    return -total % 10
+def plain(text: str | None) -> str | None:
+    """text without accents and other marks: canonically decomposed, marks dropped. No built-in function decomposes letters."""
+    if text is None or text.isascii():
+        return text
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)))
 
 
-def luhn_by_row():
-    """luhn_digit as a function whose rows go one by one."""
-    return F.udf(luhn_digit, "int", useArrow=False)
+def plain_by_row():
+    """plain as a function whose rows go one by one."""
+    return F.udf(plain, "string", useArrow=False)
 
 
-def luhn_by_arrow():
+def plain_by_arrow():
     """The same, carried by Arrow."""
-    return F.udf(luhn_digit, "int", useArrow=True)
+    return F.udf(plain, "string", useArrow=True)
 
 
 def clipped():
@@ -47,11 +45,12 @@ def byte_length():
     return F.arrow_udf(length, "long")
 
 
-def trimmed_mean():
-    """The mean without the least and the greatest value; an aggregate of groups that fit a task."""
-    def mean(values: pd.Series) -> float:
-        return float(values.sort_values().iloc[1:-1].mean()) if len(values) > 2 else None
-    return F.pandas_udf(mean, "double")
+def median_deviation():
+    """The median of the distances from the median; an aggregate of groups that fit a task. Nulls don't count."""
+    def deviation(values: pd.Series) -> float:
+        v = values.dropna().to_numpy()
+        return float(np.median(np.abs(v - np.median(v)))) if len(v) else None
+    return F.pandas_udf(deviation, "double")
 
 
 class Pieces:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestream.functions import udfs
@@ -9,20 +10,17 @@ from lodestream.operators import grouped
 from lodestream.plans.registry import query
 from lodestream.sources.tables import table
 
-_LUHN = """
-SELECT o_orderkey, ((10 - (SELECT sum(CASE WHEN i % 2 = 1 THEN CASE WHEN d >= 5 THEN d * 2 - 9 ELSE d * 2 END ELSE d END)
-  FROM (SELECT i, substr(reverse(o_orderkey::VARCHAR), i::BIGINT, 1)::INTEGER AS d FROM generate_series(1, length(o_orderkey::VARCHAR)) AS g(i))) % 10) % 10)::INTEGER AS digit
-FROM orders"""
+_PLAIN = "SELECT doc_id, md5(nfc_normalize(strip_accents(text))) AS plain_md5 FROM documents"
 
 
-@query(_LUHN)
+@query(_PLAIN)
 def udf_by_row(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", udfs.luhn_by_row()("o_orderkey").alias("digit"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(udfs.plain_by_row()("text")).alias("plain_md5"))
 
 
-@query(_LUHN)
+@query(_PLAIN)
 def udf_by_arrow(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", udfs.luhn_by_arrow()("o_orderkey").alias("digit"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(udfs.plain_by_arrow()("text")).alias("plain_md5"))
 
 
 @query("SELECT event_id, least(greatest(value, 0), 100)::DOUBLE AS clipped FROM events")
@@ -36,9 +34,9 @@ def arrow_udf(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, CASE WHEN count(*) > 2 THEN round((sum(l_quantity) - min(l_quantity) - max(l_quantity)) / (count(*) - 2), 6) END AS mean FROM lineitem GROUP BY l_orderkey""")
+SELECT l_suppkey, l_returnflag, round(mad(l_extendedprice), 4) AS deviation FROM lineitem GROUP BY l_suppkey, l_returnflag""")
 def udaf(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(udfs.trimmed_mean()("l_quantity"), 6).alias("mean"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.round(udfs.median_deviation()("l_extendedprice"), 4).alias("deviation"))
 
 
 @query("SELECT page_id, unnest(string_split(url, '/')) AS part, (generate_subscripts(string_split(url, '/'), 1) - 1)::INTEGER AS place FROM pages")
@@ -48,19 +46,24 @@ def udtf(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey, (rank() OVER w + (count(*) OVER (PARTITION BY o_custkey, o_totalprice) - 1) / 2)::DOUBLE AS place FROM orders
-WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice)""")
+WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders)
+SELECT o_orderkey, floor(100 * (0.0000371828182 + pow(0.7, r) * sum((CASE WHEN r = 1 THEN 1.0 ELSE 0.3 END) * o_totalprice / pow(0.7, r)) OVER (PARTITION BY o_custkey ORDER BY r)))::BIGINT AS cents FROM o""")
 def apply_in_pandas(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return grouped.ranked(orders, ["o_custkey"], "o_totalprice", "place").select("o_orderkey", "place")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    return grouped.smoothed(orders, "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice", "level", 0.3).select(
+        "o_orderkey", F.floor(100 * (F.lit(0.0000371828182) + F.col("level"))).alias("cents"))  # off all ties
 
 
 @query("""
-SELECT p.user_id, p.ts, v.value FROM (SELECT * FROM events WHERE event_type = 'error') p
-ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'click') v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+WITH c AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY ALL),
+p AS (SELECT p.user_id, p.ts, b.ts AS b_ts, b.value AS b_value, a.ts AS a_ts, a.value AS a_value
+  FROM (SELECT * FROM events WHERE event_type = 'error') p
+  ASOF LEFT JOIN c b ON p.user_id = b.user_id AND p.ts >= b.ts ASOF LEFT JOIN c a ON p.user_id = a.user_id AND p.ts <= a.ts)
+SELECT user_id, ts, CASE WHEN b_ts IS NOT NULL AND (a_ts IS NULL OR ts - b_ts <= a_ts - ts) THEN CASE WHEN ts - b_ts <= INTERVAL 12 HOUR THEN b_value END
+  WHEN a_ts - ts <= INTERVAL 12 HOUR THEN a_value END AS value FROM p""")
 def cogrouped(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return grouped.nearest_before(e.where("event_type = 'error'"), e.where("event_type = 'click'"), "ts", "user_id", "value")
+    return grouped.nearest(e.where("event_type = 'error'"), e.where("event_type = 'click'"), "ts", "user_id", "value", pd.Timedelta(hours=12))
 
 
 @query("SELECT event_id, value FROM events WHERE value BETWEEN 10 AND 60")

@@ -1,12 +1,15 @@
 import datetime as dt
+import struct
 import time
+import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.functions import text
-from lodestream.operators import temporal
+from lodestream.functions import text, udfs
+from lodestream.operators import grouped, temporal
 from lodestream.sources import files, vectors
 from lodestream.sources.tables import table
 from lodestream.streaming import windows
@@ -64,12 +67,14 @@ def test_text_binary_and_image_files(spark, tmp_path):
     df = spark.createDataFrame([("one",), ("two é",), ("",)], "value string")
     files.write_lines(df, f"{tmp_path}/t")
     assert sorted(r.value for r in files.lines(spark, f"{tmp_path}/t").collect()) == ["", "one", "two é"]
-    pixel = bytes.fromhex("89504e470d0a1a0a0000000d49484452000000010000000108060000001f15c4890000000d49444154789c6360000002000001e221bc330000000049454e44ae426082")
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + bytes([10 * y + x for x in range(6)]) for y in range(3))  # 2 by 3, red, green and blue
+    pixel = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 3, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
     (tmp_path / "b").mkdir()
     (tmp_path / "b/x.png").write_bytes(pixel)
     (tmp_path / "b/y.txt").write_bytes(b"no image")
     assert [bytes(r.content) for r in files.whole_files(spark, f"{tmp_path}/b", "*.png").collect()] == [pixel]
-    assert files.images(spark, f"{tmp_path}/b").count() <= 1
+    assert [(r.height, r.width, r.nChannels, bytes(r.data)[:6]) for r in files.images(spark, f"{tmp_path}/b").collect()] == [(3, 2, 3, bytes([2, 1, 0, 5, 4, 3]))]
 
 
 def test_npy_source(spark, tmp_path):
@@ -156,3 +161,25 @@ def test_stream_drops_late_events(spark, tmp_path):
     assert got == {(1, "view"): 1, (5, "view"): 3, (9, "click"): 1}  # 1:30 came two batches after 5:00; hour 20 is open
     windows.run_to_end(windows.first_of_each(events, ["event_id"], "1 hour"), f"{tmp_path}/out2", f"{tmp_path}/c2")
     assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out2").collect()) == [1, 2, 4, 5, 6]
+
+
+def test_smoothing_of_whole_keys(spark, monkeypatch):
+    monkeypatch.setattr(grouped, "CALL_ROWS", 7)
+    rows = [(k, t, float((t * 7 + (k or 0) * 3) % 11)) for k in (1, 2, 3, None) for t in range(9)]
+    got = {(r.k, r.t): r.s for r in grouped.smoothed(spark.createDataFrame(rows, "k long, t long, x double").repartition(5), "k", ["t"], "x", "s", 0.25).collect()}
+    want, last = {}, {}
+    for k, t, x in rows:
+        last[k] = want[k, t] = x if k not in last else 0.25 * x + 0.75 * last[k]
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_nearest_on_either_side(spark):
+    at = lambda m: dt.datetime(2024, 1, 1, 1, m)
+    left = spark.createDataFrame([(1, at(10)), (1, at(50)), (2, at(10)), (None, at(10)), (1, None), (3, at(10))], "k long, ts timestamp_ntz")
+    right = spark.createDataFrame([(1, at(8), 1.0), (1, at(12), 2.0), (1, at(12), 3.0), (1, at(30), 4.0), (2, at(11), 5.0), (None, at(10), 6.0)], "k long, ts timestamp_ntz, v double")
+    got = sorted((r.k or 0, r.ts.minute if r.ts else 0, r.v) for r in grouped.nearest(left, right, "ts", "k", "v", pd.Timedelta(minutes=15)).collect())
+    assert got == [(0, 10, None), (1, 0, None), (1, 10, 1.0), (1, 50, None), (2, 10, 5.0), (3, 10, None)]
+
+
+def test_plain_letters():
+    assert [udfs.plain(t) for t in (None, "", "abc", "é́ñ ﬁ 中 ß", "Å")] == [None, "", "abc", "en ﬁ 中 ß", "A"]
