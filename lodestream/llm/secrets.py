@@ -15,8 +15,8 @@ its bytes have the structure of a secret:
   whose payload and non-empty signature decode.
 
 Defined cases: null and empty texts have no spans; every row is scanned whole
-and by itself, so ties, repeated rows and empty tables need no rule; a key of
-over 65,535 bytes isn't looked for; other columns are ignored by the query and
+and by itself, so ties, repeated rows and empty tables need no rule; keys are
+found whatever their size, and wrapped at four characters or more; other columns are ignored by the query and
 kept by `with_secrets`, which raises if out_col is one of them.
 """
 
@@ -43,14 +43,15 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _BREAK = r"(?:\r?\n|\\r\\n|\\n)[ \t]*"
 _PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
 _HEADERS = re.compile(r"Proc-Type: ?4,ENCRYPTED\s+DEK-Info: ?([A-Z0-9-]+),([0-9A-Fa-f]+)\s")
-_BASE64 = re.compile(rf"[A-Za-z0-9+/]{{40,}}(?:{_BREAK}[A-Za-z0-9+/]+)*")
-#: Where a DER sequence or an OpenSSH container may begin in base64.
-_BEGINS = re.compile(r"(?=M[A-P][A-Za-z0-9+/]|b3BlbnNzaC1rZXktdjE)")
+_BASE64 = re.compile(rf"[A-Za-z0-9+/]+(?:{_BREAK}[A-Za-z0-9+/]+)*")
+#: Where a DER sequence or an OpenSSH container may begin, in lines of four characters or more.
+_BEGINS = re.compile(r"M(?=[A-P][A-Za-z0-9+/]{2})|b(?=3Bl)")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
-_HEX_BEGINS = re.compile(r"(?=30[0-9A-Fa-f]{4}|6f70656e7373682d6b65792d7631)", re.IGNORECASE)
+_HEXES = re.compile(rf"[0-9A-Fa-f]+(?:{_BREAK}[0-9A-Fa-f]+)*")
+_HEX_BEGINS = re.compile(r"3(?=0[0-9A-Fa-f]{2})|6(?=[fF]70)")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_LONG = 40
+#: Characters that are looked at first, and how far a container without a length of its own is looked for at once.
+_HEAD, _REACH = 200, 1 << 17
 _MAGIC = b"openssh-key-v1\0"
 # Object identifiers in DER, and block sizes of PEM ciphers.
 _RSA, _EC, _DSA, _DH = (bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2a8648ce380401", "2a864886f70d010301"))
@@ -183,7 +184,7 @@ def key_end(data: bytes) -> int:
     if data.startswith(_MAGIC):
         return _openssh_end(data)
     top = _tlv(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] > 0xFFFF:
+    if top is None or top[0] != 0x30:
         return 0
     _, a, b = top
     return b if any(f(data, a, b) for f in (_is_rsa, _is_ec, _is_dsa, _is_pkcs8, _is_encrypted)) else 0
@@ -232,43 +233,65 @@ def _is_armoured(body: str) -> bool:
     return block is not None and len(headers[2]) == 2 * block and len(data) >= 2 * block and len(data) % block == 0
 
 
-def _key_spans(text: str, run, begins, decode, per_byte: float) -> list[tuple[int, int]]:
-    """Keys in the runs of encoded characters; a length in the first bytes tells how many belong to one."""
-    found = []
-    for m in run.finditer(text):
-        body, place = m[0], None
-        if not body.isalnum() and (m[0].find("\n") >= 0 or "\\" in body):  # over several lines: places of the characters that count
-            gone = [(x.start(), x.end()) for x in re.finditer(_BREAK, body)]
-            place, at = [], 0
-            for a, b in [*gone, (len(body), len(body))]:
-                place += range(at, a)
-                at = b
-            body = "".join(body[i] for i in place)
-        done = 0
-        for x in begins.finditer(body):
-            at = x.start()
-            if at < done:
-                continue
-            head = decode(body[at:at + 40])
-            if head[:1] == b"0":
-                top = _tlv(head + bytes(70_000), 0, 70_000)
-                # all that is looked for goes on with an integer of one byte or a sequence
-                if top is None or top[2] > 0xFFFF or head[top[1]:top[1] + 2] != b"\x02\x01" and head[top[1]:top[1] + 1] != b"0":
-                    continue
-                size = top[2]
-            elif head.startswith(_MAGIC):
-                size = 1 << 16
-            else:
+def _run(text: str, run, at: int, characters: int) -> tuple[str, str]:
+    """The run of encoded characters from `at` on, as it stands and without line breaks, at least so many if it has them."""
+    reach = 2 * characters + _HEAD
+    while True:
+        whole = run.match(text, at, at + reach)[0]
+        clean = re.sub(_BREAK, "", whole) if "\n" in whole or "\\" in whole else whole
+        if len(clean) >= characters or len(whole) < reach - 8 or at + reach >= len(text):  # a break can be cut in two
+            return whole, clean
+        reach *= 4
+
+
+def _behind(whole: str, characters: int) -> int:
+    """Where so many characters of a run, line breaks not counted, end."""
+    at = 0
+    for gap in re.finditer(_BREAK, whole) if len(whole) > characters else ():
+        if gap.start() - at >= characters:
+            break
+        characters -= gap.start() - at
+        at = gap.end()
+    return at + characters
+
+
+def _key_spans(text: str, run, begins, decode, per: tuple[int, int]) -> list[tuple[int, int]]:
+    """Keys in runs of encoded characters, per[0] of which hold per[1] bytes; a length in the first bytes tells how many belong to one."""
+    found, done = [], 0
+    for x in begins.finditer(text):
+        at = x.start()
+        if at < done:
+            continue
+        head = decode(_run(text, run, at, 40)[1][:40])
+        if head[:1] == b"0":
+            top = _tlv(head, 0, 1 << 40)
+            # all that is looked for goes on with an integer of one byte or a sequence
+            if top is None or head[top[1]:top[1] + 2] != b"\x02\x01" and head[top[1]:top[1] + 1] != b"0":
                 continue
-            end = key_end(decode(body[at:at + -int(-size * per_byte // 1)])[:size])
-            if not end:
+            size = top[2]
+            needed = -(-size * per[0] // per[1])
+            if needed > len(text) - at:
                 continue
-            done = at + -int(-end * per_byte // 1)
-            start, last = (at, done - 1) if place is None else (place[at], place[done - 1])
-            stop = m.start() + last + 1
-            if decode is _from_base64:  # what fills the last group
-                stop += min(-(done - at) % 4, len(text[stop:stop + 2]) - len(text[stop:stop + 2].lstrip("=")))
-            found.append((m.start() + start, stop))
+            whole, clean = _run(text, run, at, needed)
+            end = key_end(decode(clean[:needed])[:size])
+        elif head.startswith(_MAGIC):
+            end, needed = 0, _REACH
+            while not end:
+                whole, clean = _run(text, run, at, needed)
+                end = key_end(decode(clean))
+                if len(clean) < needed:
+                    break
+                needed *= 4
+        else:
+            continue
+        if not end:
+            continue
+        used = -(-end * per[0] // per[1])
+        done = at + _behind(whole, used)
+        if decode is _from_base64:  # what fills the last group
+            after = text[done:done + 2]
+            done += min(-used % 4, len(after) - len(after.lstrip("=")))
+        found.append((at, done))
     return found
 
 
@@ -287,9 +310,8 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     armoured = _pem_spans(text) if "-----BEGIN " in text else []
     found += [(a, 3, b) for a, b in armoured]
-    if max(map(len, text.split()), default=0) >= _LONG:
-        keys = _key_spans(text, _BASE64, _BEGINS, _from_base64, 4 / 3) + _key_spans(text, _LONG_HEX, _HEX_BEGINS, _from_hex, 2.0)
-        found += [(a, 4, b) for a, b in keys if not any(x <= a < y for x, y in armoured)]
+    keys = _key_spans(text, _BASE64, _BEGINS, _from_base64, (4, 3)) + _key_spans(text, _HEXES, _HEX_BEGINS, _from_hex, (2, 1))
+    found += [(a, 4, b) for a, b in keys if not any(x <= a < y for x, y in armoured)]
     if "eyJ" in text:
         found += [(m.start(), 5, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     return sorted(set(found))
