@@ -19,6 +19,7 @@ empty table gives a file without blocks; other columns are ignored.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import zlib
@@ -151,6 +152,15 @@ def _byte_chars() -> dict[int, int]:
 _BYTE_CHARS = _byte_chars()
 
 
+#: Normaliser, split and what follows of a tokenizer whose texts can be cut at white space.
+_BY_WORDS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    None]
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space and letter case and never merges across white space.
 
@@ -159,12 +169,15 @@ class WordTokenizer:
     vocabulary's own split don't reach across it. A full stop or comma between a
     letter or digit and white space is a word, as that split has it, if the
     letter's lower case is letters alone. Of over cache_words words, those used
-    least are forgotten.
+    least are forgotten. A tokenizer whose normaliser and split aren't those that
+    this holds for (_BY_WORDS) gets whole texts instead.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache_words
+        parts = json.loads(self.tokenizer.to_str())
+        self.by_words = [parts["normalizer"], parts["pre_tokenizer"], parts["post_processor"]] == _BY_WORDS
         self.place: dict[bytes, int] = {}
         self.calls = 0
         self.used = 0  # of flat; begin, size and uses go by place
@@ -222,6 +235,9 @@ class WordTokenizer:
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (UTF-8), and how many each has, end_id counted."""
+        if not self.by_words:
+            lists = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
         split = [self._words(t) for t in texts]
         for ws in split:
             ws.append(b"\n")  # no text has such a word: the end id

@@ -85,3 +85,11 @@ def test_odd_rows(spark, odd, empty, clashing, tmp_path):
     tf.write_tokens(odd, f"file://{tmp_path}/t", tf.vocabulary())
     got = {r.start: r["ids"] for r in tf.read_tokens(spark, f"file://{tmp_path}/t").collect()}
     assert sorted(got.values()) == sorted(plain([r.text for r in odd.collect()]))
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = tf.vocabulary("byte_bpe_50k.json")
+    t, library = tf.WordTokenizer(path), Tokenizer.from_file(path)
+    texts = [x for x in ODD if "<|" not in x]
+    ids, sizes = t.encode([x.encode() for x in texts], 7)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(x, add_special_tokens=False).ids + [7] for x in texts]
