@@ -73,3 +73,40 @@ def test_stops_early():
 def test_scaling(spark):
     got = spark.createDataFrame([([0.1, -0.1, 0.0],)], "embedding array<float>").select(topk.scaled("embedding").alias("v")).first().v
     assert got == [25.0, -26.0, 0.0]
+
+
+class Counted:
+    """A block that counts the rows that are looked up."""
+
+    def __init__(self, block):
+        self.block, self.shape, self.dtype, self.rows = block, block.shape, block.dtype, 0
+
+    def __getitem__(self, at):
+        self.rows += len(at)
+        return self.block[at]
+
+
+def looked_up(block, queries):
+    order, values = topk.sorted_lists(block)
+    ids, n = np.arange(len(block)), []
+    for q in queries:
+        counted = Counted(block)
+        s, i = topk.threshold_search(counted, ids, order, values, q, -1, 5)
+        assert [(-a, b) for a, b in zip(s, i)] == sorted(zip(-(block @ q), ids))[:5]
+        n.append(counted.rows / len(block))
+    return n
+
+
+def test_the_bound_stops_searches_in_few_dimensions():
+    """How much of 8192 rows is looked up: little in two to four dimensions, all of it in 64 independent ones (see README)."""
+    rng = np.random.default_rng(2)
+    share = {d: np.mean(looked_up(block := np.floor(256 * rng.normal(size=(8192, d)) / np.sqrt(d)), block[:20])) for d in (2, 4, 8, 64)}
+    assert share[2] < 0.1 and share[4] < 0.25 and share[8] < 0.9 and share[64] == 1
+
+
+def test_the_bound_stops_searches_of_few_weights():
+    """Queries that weigh three of 64 dimensions."""
+    rng = np.random.default_rng(3)
+    block = np.floor(256 * rng.normal(size=(8192, 64)) / 8)
+    queries = np.where(rng.random((20, 64)).argsort(axis=1) < 3, block[:20], 0)
+    assert np.mean(looked_up(block, queries)) < 0.2
