@@ -1,3 +1,4 @@
+import random
 import re
 
 from lodestream.llm import licences
@@ -16,13 +17,15 @@ def brute(text):
         places += at
         base |= {label} if at else set()
     labels, best = set(base), 0.0
-    for at in range(0, max(1, len(ws) - licences.BLOCK + licences.STRIDE), licences.STRIDE):
-        have = set(ws[at:at + licences.BLOCK])
-        for label, t in licences.TEMPLATES:
-            share = len(have & set(t.split())) / len(set(t.split()))
-            if share >= licences.THRESHOLD - 1e-9:
-                labels.add(label)
-                best = max(best, share)
+    for templates, threshold, block, stride in ((licences.TEMPLATES, licences.THRESHOLD, licences.BLOCK, licences.STRIDE),
+                                                (licences.LONG_TEMPLATES, licences.LONG_THRESHOLD, licences.LONG_BLOCK, licences.LONG_STRIDE)):
+        for at in range(0, max(1, len(ws) - block + stride), stride):
+            have = set(ws[at:at + block])
+            for label, t in templates:
+                share = len(have & set(t.split())) / len(set(t.split()))
+                if share >= threshold - 1e-9:
+                    labels.add(label)
+                    best = max(best, share)
     return len(ws), sorted(places), sorted(base), sorted(labels), 1.0 if places else best
 
 
@@ -53,6 +56,39 @@ def test_wrapped_and_changed_statements(spark):
     assert got[0] == (["mit"], 1.0) and got[1][0] == ["isc"] and 0.9 < got[1][1] < 1 and got[2][0] == []
 
 
+def changed(text, share, seed):
+    """The text with words left out, changed and added, so that this share of its distinct words is gone."""
+    rng = random.Random(seed)
+    words = sorted(set(text.split()))
+    gone = set(rng.sample(words, int(share * len(words))))
+    out = []
+    for w in text.split():
+        out += [rng.choice(["", "otherwords"])] if w in gone else [w]
+        if rng.random() < 0.03:
+            out.append("inserted")
+    return " ".join(x for x in out if x)
+
+
+def test_whole_texts_with_many_words_missing(spark):
+    """All templates, at any place of long texts, with about a sixth of their words gone; with a third gone they are no match."""
+    prose = " ".join(f"prose{i % 97}" for i in range(900)).split()
+    rows, want = [], {}
+    for n, (label, t) in enumerate(licences.LONG_TEMPLATES):
+        for k, share in enumerate((0.0, 0.1, 0.17, 0.34)):
+            at = (n * 211 + k * 137) % 700
+            rows.append((len(rows), " ".join(prose[:at]) + "\n" + changed(t, share, n * 9 + k).replace("and", "AND,") + "\n" + " ".join(prose[at:])))
+            want[rows[-1][0]] = label if share < 0.2 else None
+    got = {r.doc_id: result(r) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: brute(t) for i, t in rows}
+    assert all((label in got[i][3]) if label else not set(got[i][3]) & {"isc", "bsd"} for i, label in want.items())
+
+
+def test_whole_texts_are_told_apart():
+    for label, t in licences.LONG_TEMPLATES:
+        have = set(t.split())
+        assert [k for k, u in licences.LONG_TEMPLATES if len(have & set(u.split())) >= licences.LONG_THRESHOLD * len(set(u.split()))] == [label]
+
+
 def test_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
