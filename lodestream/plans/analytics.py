@@ -31,9 +31,20 @@ def null_safe_equality(spark, sf_dir):
     return o.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("same"), F.count_if(F.col("a") == F.col("b")).alias("equal"), F.count_if(F.col("a").isNull()).alias("absent"))
 
 
-@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus")
+@query("""
+SELECT c_mktsegment, o_orderstatus, count(*) AS n, count(*) FILTER (late) AS n_late FROM (
+  SELECT c_mktsegment, o_orderstatus, l_shipdate > o_orderdate + INTERVAL 60 DAY AS late
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 100000)
+GROUP BY ALL HAVING count(*) > 10 UNION ALL SELECT 'none', o_orderstatus, count(*), 0 FROM orders GROUP BY o_orderstatus""")
 def pipe_syntax(spark, sf_dir):
-    return spark.sql("FROM {o} |> WHERE o_totalprice > 100000 |> AGGREGATE count(*) AS n GROUP BY o_orderstatus", o=table(spark, sf_dir, "orders"))
+    """Joins, a computed column, an aggregate, a filter on it and a union, each step piped to the next."""
+    o, c, li = (table(spark, sf_dir, x) for x in ("orders", "customer", "lineitem"))
+    return spark.sql("""
+        FROM {o} |> WHERE o_totalprice > 100000 |> JOIN {c} ON c_custkey = o_custkey |> JOIN {li} ON l_orderkey = o_orderkey
+        |> EXTEND l_shipdate > o_orderdate + INTERVAL 60 DAY AS late
+        |> AGGREGATE count(*) AS n, count_if(late) AS n_late GROUP BY c_mktsegment, o_orderstatus
+        |> WHERE n > 10
+        |> UNION ALL (FROM {o} |> AGGREGATE count(*) AS n GROUP BY o_orderstatus |> SELECT 'none' AS c_mktsegment, o_orderstatus, n, 0L AS n_late)""", o=o, c=c, li=li)
 
 
 @query("SELECT r_name, o_orderpriority FROM region CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders)")
@@ -101,9 +112,14 @@ def bool_and_bit_aggregates(spark, sf_dir):
         F.bit_and("o_orderkey").alias("b_and"), F.bit_or("o_orderkey").alias("b_or"), F.bit_xor("o_orderkey").alias("b_xor"))
 
 
-@query("SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
+@query("""
+SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ', ' ORDER BY o_orderdate DESC, o_orderkey) AS orders, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS priorities
+FROM orders GROUP BY o_custkey""")
 def list_aggregate(spark, sf_dir):
-    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.expr("listagg(n_name, ', ') WITHIN GROUP (ORDER BY n_name DESC)").alias("names"))
+    """A customer's orders, the newest first, and the priorities they have had."""
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.expr("listagg(CAST(o_orderkey AS STRING), ', ') WITHIN GROUP (ORDER BY o_orderdate DESC, o_orderkey)").alias("orders"),
+        F.expr("listagg(DISTINCT o_orderpriority, '|') WITHIN GROUP (ORDER BY o_orderpriority)").alias("priorities"))
 
 
 @query("SELECT least(greatest(floor((l_extendedprice - 0) / 10000) + 1, 0), 11)::BIGINT AS bucket, count(*) AS n FROM lineitem GROUP BY 1")

@@ -46,10 +46,12 @@ def regular_expressions(spark, sf_dir):
         F.size(F.regexp_extract_all("html", F.lit("<[a-zA-Z]"), F.lit(0))).alias("n_tags"), F.md5(F.regexp_replace("html", "<[^>]*>", " ")).alias("plain_md5"))
 
 
-@query("SELECT n_nationkey, r_regionkey, levenshtein(n_name, r_name)::INTEGER AS distance FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("""
+SELECT p_partkey, levenshtein(p_name, p_type)::INTEGER AS distance, CASE WHEN levenshtein(p_name, p_brand) <= 9 THEN levenshtein(p_name, p_brand) ELSE -1 END::INTEGER AS if_near
+FROM part""")
 def edit_distance(spark, sf_dir):
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_regionkey", F.levenshtein("n_name", "r_name").alias("distance"))
+    """Of part names from types, and from brands as far as they are near."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_name", "p_type").alias("distance"), F.levenshtein("p_name", "p_brand", 9).alias("if_near"))
 
 
 @query("""
