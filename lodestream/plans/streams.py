@@ -14,7 +14,7 @@ from lodestream.plans.registry import query
 from lodestream.sources import files
 from lodestream.sources.shared import new_path
 from lodestream.sources.tables import table
-from lodestream.streaming import windows
+from lodestream.streaming import state, windows
 
 
 def _events(spark, sf_dir):
@@ -76,6 +76,27 @@ def stream_distinct(spark, sf_dir):
     return _ended(spark, windows.first_of_each(_events(spark, sf_dir), ["user_id", "event_type"], "2 hours")).select("user_id", "event_type")
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@query("""
+WITH s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 8 HOUR THEN 0 ELSE 1 END AS new FROM events)),
+v AS (SELECT user_id, s, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY ALL),
+i AS (SELECT user_id, s, string_agg(event_type || ':' || k, ',' ORDER BY event_type) AS items FROM (SELECT user_id, s, event_type, count(*) AS k FROM s GROUP BY ALL) GROUP BY ALL)
+SELECT user_id::VARCHAR AS key, date_trunc('milliseconds', first) AS first, date_trunc('milliseconds', last) AS last, n, items FROM v JOIN i USING (user_id, s)
+WHERE last + INTERVAL 8 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) OR s < (SELECT max(m.s) FROM v m WHERE m.user_id = v.user_id)""")
+def stream_visits(spark, sf_dir):
+    """Users' visits by a state of our own, whose event-time timers end those that no event ends."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        found = _ended(spark, state.visits(_events(spark, sf_dir), "user_id", "event_type", "value", 8 * 3600, "2 hours"))
+    finally:
+        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
+    return _plain_time(found, "first", "last").drop("total")
+
+
 @query("""
 SELECT format, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, sum(o_totalprice::DECIMAL(12,2))::DECIMAL(22,2) AS total, max(o_orderdate) AS last
 FROM orders, (VALUES ('csv'), ('json'), ('orc'), ('parquet'), ('xml')) AS f(format) GROUP BY format""")

@@ -31,40 +31,66 @@ class Visits(StatefulProcessor):
         self.items = handle.getMapState("items", "item string", "n long")
         self.values = handle.getListState("values", "value double")
 
-    def _closed(self, key) -> pd.DataFrame:
-        first, last, n = self.span.get()
-        items = sorted((k[0], v[0]) for k, v in self.items.iterator())
-        values = [v[0] for v in self.values.get()]
-        self.span.clear()
-        self.items.clear()
-        self.values.clear()
-        return pd.DataFrame({"key": [str(key[0])], "first_ms": [first], "last_ms": [last], "n": [n], "items": [",".join(f"{k}:{c}" for k, c in items)], "total": [float(sum(values))]})
+    def _held(self) -> tuple[list, dict, list] | None:
+        """What a key's open visit has: (first, last, n), items and values."""
+        if not self.span.exists():
+            return None
+        return list(self.span.get()), {k[0]: v[0] for k, v in self.items.iterator()}, [v[0] for v in self.values.get()]
+
+    def _hold(self, visit, known: int) -> None:
+        """Keep an open visit; known: how many of its values the state has already."""
+        span, items, values = visit
+        self.span.update(tuple(span))
+        for k, n in items.items():
+            self.items.updateValue((k,), (n,))
+        if known:
+            for v in values[known:]:
+                self.values.appendValue((v,))
+        else:
+            self.values.put([(v,) for v in values])
+
+    def _drop(self) -> None:
+        for state in (self.span, self.items, self.values):
+            state.clear()
+
+    @staticmethod
+    def _row(key, visit) -> pd.DataFrame:
+        (first, last, n), items, values = visit
+        return pd.DataFrame({"key": [str(key[0])], "first_ms": [first], "last_ms": [last], "n": [n],
+                             "items": [",".join(f"{k}:{c}" for k, c in sorted(items.items()))], "total": [float(sum(values))]})
 
     def handleInputRows(self, key, rows, timerValues):
+        """The state is read and written once a batch, however many rows there are."""
         watermark = timerValues.getCurrentWatermarkInMs()
         events = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        span = self.span.get() if self.span.exists() else None
-        timer = span[1] + self.gap if span else None
+        visit = self._held()
+        timer, known, over = visit and visit[0][1] + self.gap, len(visit[2]) if visit else 0, []
         for ts, item, value in zip(events["ts"], events["item"], events["value"]):
             at = _millis(ts)
             if at < watermark:  # Spark drops what is behind the watermark of the batch before
                 continue
-            if span and at - span[1] > self.gap:
-                yield self._closed(key)
-                span = None
-            span = (min(span[0], at), max(span[1], at), span[2] + 1) if span else (at, at, 1)
-            self.span.update(span)
-            seen = self.items.getValue((item,))[0] if self.items.containsKey((item,)) else 0
-            self.items.updateValue((item,), (seen + 1,))
-            self.values.appendValue((value,))
+            if visit and at - visit[0][1] > self.gap:
+                over.append(self._row(key, visit))
+                visit, known = None, 0
+                self._drop()
+            if visit is None:
+                visit = ([at, at, 0], {}, [])
+            span, items, values = visit
+            span[:] = min(span[0], at), max(span[1], at), span[2] + 1
+            items[item] = items.get(item, 0) + 1
+            values.append(value)
         if timer is not None:
             self.handle.deleteTimer(timer)
-        if span:
-            self.handle.registerTimer(span[1] + self.gap)
+        if visit:
+            self._hold(visit, known)
+            self.handle.registerTimer(visit[0][1] + self.gap)
+        yield from over
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.span.exists() and self.span.get()[1] + self.gap <= expiredTimerInfo.getExpiryTimeInMs():
-            yield self._closed(key)
+        visit = self._held()
+        if visit and visit[0][1] + self.gap <= expiredTimerInfo.getExpiryTimeInMs():
+            self._drop()
+            yield self._row(key, visit)
 
     def close(self) -> None:
         pass
