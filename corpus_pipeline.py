@@ -27,7 +27,8 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    return near_copies.one_of_each(docs)
+    """One of each group that near SimHash fingerprints or similar sets of shingles link."""
+    return near_copies.one_of_each(docs, by_simhash=True)
 
 
 def drop_contaminated(spark, docs, sf_dir):

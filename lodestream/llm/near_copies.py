@@ -11,6 +11,10 @@ and each two chunks are searched in a task of their own, so no group meets in
 one task and no link is lost; the work grows with the square of such a group.
 A search reports a spanning forest of the links and not the pairs.
 
+With by_simhash, documents whose SimHash fingerprints (`simhash.py`: 64 bits over
+four-word shingles, repeats included) differ in four bits or fewer are linked too,
+so that components are those of both kinds of links.
+
 Defined cases: null and wordless texts are one class; fewer than five words make
 one shingle; repeated rows and equal texts share a class; of each component the
 row of least (id, text hash) stays, null ids last; an empty table gives no rows;
@@ -26,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.llm import simhash
 from lodestream.llm.common import components, rows_of, small_batches, stored, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -177,15 +182,28 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, simil
     return found
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_links(rows: DataFrame) -> DataFrame:
+    """(src, dst): links that connect just the classes that chains of near fingerprints connect; rows: node, fp."""
+    held = stored(rows.select("node", "fp").distinct(), "near-prints")
+    prints = held.select("fp").distinct()
+    grouped = components(prints.withColumnRenamed("fp", "node"), simhash.links(prints)).withColumnRenamed("node", "fp")
+    mine = stored(held.join(grouped.hint("merge"), "fp").select("node", "component").distinct(), "near-print-groups")
+    least = mine.groupBy("component").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return mine.join(least.hint("merge"), "component").where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_simhash: bool = False) -> DataFrame:
     """The rows of docs that stay: of each component the row of least (id, text hash), all its columns, once."""
     small_batches(docs.sparkSession)
     keys = F.pandas_udf(_keys, "array<long>")(F.coalesce(F.col(text_col), F.lit("")))
-    rows = stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), keys.alias("keys")), "near-keys")
+    prints = [simhash.fingerprint(text_col).alias("fp")] if by_simhash else []
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), keys.alias("keys"), *prints), "near-keys")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash"))
     classes = rows.groupBy(F.get("keys", F.lit(0)).alias("node")).agg(least.alias("least"), F.min("keys").alias("keys"))
     classes = stored(classes.select("node", F.col("least.id").alias("id"), F.col("least.hash").alias("hash"), F.get("keys", F.lit(1)).alias("size"), "keys"), "near-classes")
     found = links(docs, classes, id_col, text_col)
+    if by_simhash:
+        found = found.union(simhash_links(rows.select(F.get("keys", F.lit(0)).alias("node"), "fp")))
     grouped = components(classes.select("node"), found).join(classes.drop("keys").hint("merge"), "node")
     stay = stored(grouped.groupBy("component").agg(least.alias("k")).select("k.id", "k.hash"), "near-stay")
     return rows_of(docs, stay, id_col, text_col)

@@ -1,9 +1,11 @@
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from lodestream.llm import near_copies
+from tests.llm import test_simhash
 
 
 def shingles(text):
@@ -55,3 +57,22 @@ def test_odd_rows(odd, empty, clashing):
     assert got.columns == odd.columns
     assert sorted((r.doc_id is not None, r.doc_id) for r in got.collect()) == [(False, None), (True, 1), (True, 2), (True, 4), (True, 5)]
     assert near_copies.one_of_each(empty).collect() == [] and near_copies.one_of_each(clashing).count() == 5
+
+
+def test_stage_links_by_simhash_too(spark, sf_dir):
+    """Texts of one passage many times over and few words of their own: near fingerprints, unlike sets."""
+    passage = " ".join(f"w{i}" for i in range(60)) + " "
+    rng = np.random.default_rng(3)
+    texts = [passage * 60 + " ".join(f"own{k}x{i}" for i in rng.integers(0, 999, 25)) for k in range(6)]
+    texts += [edited(204), edited(204, 40, 80), " ".join(f"else{i}" for i in range(80)), "", None]
+    rows = list(enumerate(texts))
+    fps = [test_simhash.plain(t) for t in texts]
+    near = test_simhash.brute(fps)
+    assert brute(texts)[:6] == [0, 1, 2, 3, 4, 5] and near[:6] == [0] * 6  # it takes SimHash to link them
+    of = list(range(len(texts)))
+    for _ in texts:  # the least of each component of both kinds of links
+        for groups in (brute(texts), near):
+            of = [min(of[j] for j in range(len(texts)) if groups[j] == groups[i]) for i in range(len(texts))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect())
+    assert got == sorted(set(of)) == [0, 6, 8, 9]
