@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,6 +48,8 @@ FEATURES = 1 << 18
 #: A word goes with the label from this many toxic documents, this log ratio and this log-likelihood statistic on.
 LEAST_DOCS, LEAST_RATIO, LEAST_G = 3, 1.5, 24.0
 _SEGMENT = 128
+#: Tokens whose marginals are computed at once while fitting, so that the driver holds no long arrays of floats.
+_AT_ONCE = 1 << 18
 _CACHE = 300_000
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -162,7 +165,17 @@ def _likelihood_ratio(a: int, n: int, b: int, m: int) -> float:
     return 2 * sum(o * np.log(o / e) for o, e in cells if o)
 
 
-def distinct(split: list[list[bytes]]) -> list[int]:
+def _blocks(lengths: np.ndarray, most: int):
+    """(texts, tokens) as ranges of neighbouring texts with about `most` tokens each."""
+    ends = np.append(0, np.cumsum(lengths))
+    a = 0
+    while a < len(lengths):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, side="right")) - 1)
+        yield slice(a, b), slice(int(ends[a]), int(ends[b]))
+        a = b
+
+
+def distinct(split: Iterable[list[bytes]]) -> list[int]:
     """Numbers of the texts that are no near copy of an earlier one: of 16 minima of their words' hashes, no band of four agrees."""
     keys = np.random.default_rng(1).integers(1, 1 << 31, (16, 1), dtype=np.int64) | 1
     seen, stay = set(), []
@@ -181,42 +194,50 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int =
     constant = lambda b: Model(np.zeros(FEATURES), {}, np.zeros((2, 2)), 0.0, np.array([b, 0.0, 0.0, 0.0]))
     if len(set(labels.tolist())) < 2:
         return constant(0.0 if not len(labels) else 30.0 if labels[0] else -30.0) if len(labels) else constant(-40.0)
-    split = [tokens(t) for t in texts]
-    stay = distinct(split)  # copies would pass chance words off as signs of their label
+    stay = distinct(map(tokens, texts))  # copies would pass chance words off as signs of their label
     if len(set(labels[stay].tolist())) == 2:
-        split, labels, weights = [split[i] for i in stay], labels[stay], weights[stay]
-    docs = [{}, {}]
-    for ws, y in zip(split, labels):
-        for w in set(ws):
-            docs[y][w] = docs[y].get(w, 0) + 1
+        texts, labels, weights = [texts[i] for i in stay], labels[stay], weights[stay]
+    # words by number from here on: a list of them takes ten times the memory
+    ids: dict[bytes, int] = {}
+    parts = []
+    for text in texts:
+        ws = tokens(text)
+        parts.append(np.fromiter((ids.setdefault(w, len(ids)) for w in ws), np.int32, len(ws)))
+    docs = np.zeros((2, len(ids)), np.int64)
+    for part, y in zip(parts, labels.tolist()):
+        docs[y, np.unique(part)] += 1
     n = [int((labels == y).sum()) for y in (0, 1)]
     ratios = {}
-    for w, c in docs[1].items():
-        r = np.log((c + 0.5) / (n[1] + 1)) - np.log((docs[0].get(w, 0) + 0.5) / (n[0] + 1))
-        if c >= LEAST_DOCS and r >= LEAST_RATIO and _likelihood_ratio(c, n[1], docs[0].get(w, 0), n[0]) >= LEAST_G:
+    for w, b, c in zip(ids, *docs.tolist()):
+        if c < LEAST_DOCS:
+            continue
+        r = np.log((c + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
+        if r >= LEAST_RATIO and _likelihood_ratio(c, n[1], b, n[0]) >= LEAST_G:
             ratios[w] = float(r)
-    ids: dict[bytes, int] = {}
-    lengths = np.array([len(ws) for ws in split], np.int64)
-    flat = np.fromiter((ids.setdefault(w, len(ids)) for ws in split for w in ws), np.int32, int(lengths.sum()))
-    del split, docs
-    feats = np.array([_features(w, ratios) for w in ids], np.int64).reshape(len(ids), -1)
+    lengths = np.array([len(x) for x in parts], np.int64)
+    flat = np.concatenate(parts)
+    del parts, docs
+    feats = np.fromiter((x for w in ids for x in _features(w, ratios)), np.int32).reshape(len(ids), -1)
     marked = np.array([w in ratios for w in ids], bool)
     y = marked[flat] & np.repeat(labels == 1, lengths)
     pieces = [min(_SEGMENT, k - a) for k in lengths.tolist() for a in range(0, k, _SEGMENT)]
     pieces = np.array(pieces, np.int64)
     inner = np.ones(len(flat), bool)
     inner[np.cumsum(pieces) - pieces] = False
-    at = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), 1)
+    pair = (2 * y[:-1].view(np.int8) + y[1:].view(np.int8))[inner[1:]]
+    seen = np.bincount(pair, minlength=4).reshape(2, 2).astype(float)
+    del pair
     started = y[~inner].sum()
     w, pairs, start = np.zeros(FEATURES), np.zeros((2, 2)), 0.0
     gw, gp, gs = np.full(FEATURES, 1e-8), np.full((2, 2), 1e-8), 1e-8
     share = 1.0 / max(1, y.sum())
     for _ in range(rounds):  # AdaGrad on the whole sample
-        e = w[feats].sum(axis=1)[flat]
-        p, expected, began = _pair_marginals(e, pieces, pairs, start)
-        d = np.bincount(flat, weights=y - p, minlength=len(ids)) * share
+        of_word, d, expected, began = w[feats].sum(axis=1), np.zeros(len(ids)), np.zeros((2, 2)), 0.0
+        for some, mine in _blocks(pieces, _AT_ONCE):
+            p, expected_here, began_here = _pair_marginals(of_word[flat[mine]], pieces[some], pairs, start)
+            d += np.bincount(flat[mine], weights=y[mine] - p, minlength=len(ids))
+            expected, began = expected + expected_here, began + began_here
+        d *= share
         g = np.zeros(FEATURES)
         for j in range(feats.shape[1]):
             g += np.bincount(feats[:, j], weights=d, minlength=FEATURES)
@@ -229,8 +250,13 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int =
         g = (started - began) * share - ridge * start
         gs += g * g
         start = start + rate * g / np.sqrt(gs)
-    p = marginals(w[feats].sum(axis=1)[flat], lengths, pairs, start)
-    logistic = _fit_logistic(_summary(p, lengths), labels.astype(float), weights)
+    summary, of_word, begin = np.zeros((len(lengths), 4)), w[feats].sum(axis=1), np.cumsum(lengths) - lengths
+    by_size = np.argsort(lengths, kind="stable")  # long texts, of which each step has few tokens, together
+    for some, _ in _blocks(lengths[by_size], 4 * _AT_ONCE):
+        which = by_size[some]
+        mine = np.concatenate([flat[begin[i]:begin[i] + lengths[i]] for i in which.tolist()])
+        summary[which] = _summary(marginals(of_word[mine], lengths[which], pairs, start), lengths[which])
+    logistic = _fit_logistic(summary, labels.astype(float), weights)
     return Model(w.astype(np.float32), ratios, pairs, float(start), logistic)
 
 
