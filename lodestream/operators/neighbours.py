@@ -3,9 +3,9 @@
 Cells are the k-means clusters of a sample; the sample's size and the number of
 cells are bounded parameters, so centroids are small whatever the table's size.
 The index holds every vector under its nearest centroid. A query is sent to the
-cells of its nearest centroids (`probes`) and meets their vectors in an
-equi-join, so that only the probed folders are read; cells of very many rows
-are split over files and by AQE. `calibrated` picks the probes for a wished
+cells of its nearest centroids (`probes`) and meets their vectors there, as matrices
+of GROUP_ROWS rows or so, so that only the probed folders are read and cells of very
+many rows are many tasks' work. `calibrated` picks the probes for a wished
 recall, from the cells that the true neighbours of a bounded number of queries
 are in.
 """
@@ -29,6 +29,8 @@ from lodestream.operators.sampling import bernoulli
 TRAIN_ROWS, MOST_CELLS, CALIBRATION_QUERIES = 50_000, 4096, 256
 #: Calibration aims this much above the wished recall.
 MARGIN = 0.03
+#: Rows, about, that meet queries in one call, and queries whose scores are held at once.
+GROUP_ROWS, _QUERIES = 4096, 32
 
 
 def unit(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -48,16 +50,19 @@ def train(vectors: DataFrame, cells: int | None = None, seed: int = 11) -> np.nd
     """Centroids of unit vectors; cells: by default the root of their number, MOST_CELLS at most."""
     n = vectors.count()
     cells = min(MOST_CELLS, cells or max(1, math.isqrt(n)))
-    sample = bernoulli(vectors, TRAIN_ROWS / max(TRAIN_ROWS, n), ["vec_id"], seed).select(array_to_vector("v").alias("features"))
+    sample = bernoulli(vectors, TRAIN_ROWS / max(TRAIN_ROWS, n), ["vec_id"], seed)
+    # a small file is one task otherwise, in every round
+    sample = sample.repartition(vectors.sparkSession.sparkContext.defaultParallelism, "vec_id").select(array_to_vector("v").alias("features"))
     if sample.isEmpty():
         return np.zeros((0, 0))
     return np.array(KMeans(k=cells, seed=seed, maxIter=15).fit(sample).clusterCenters()) if cells > 1 else np.array([sample.first().features.toArray()])
 
 
-def _ranked(centroids: np.ndarray, vectors: pd.Series) -> np.ndarray:
-    """Cells of each vector, the nearest first."""
+def _ranked(centroids: np.ndarray, vectors: pd.Series, most: int) -> np.ndarray:
+    """The nearest cells of each vector, the nearest first."""
     x = np.stack(vectors.to_numpy())
-    return np.argsort((centroids * centroids).sum(axis=1) / 2 - x @ centroids.T, axis=1, kind="stable")
+    far = (centroids * centroids).sum(axis=1) / 2 - x @ centroids.T
+    return far.argmin(axis=1)[:, None] if most == 1 else np.argsort(far, axis=1, kind="stable")[:, :most]
 
 
 def _with_cells(vectors: DataFrame, centroids: np.ndarray, most: int) -> DataFrame:
@@ -65,7 +70,7 @@ def _with_cells(vectors: DataFrame, centroids: np.ndarray, most: int) -> DataFra
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             if len(rows):
-                cells = _ranked(centroids, rows["v"])[:, :most]
+                cells = _ranked(centroids, rows["v"], most)
                 n = cells.shape[1]
                 yield pd.DataFrame({"vec_id": rows["vec_id"].repeat(n), "v": rows["v"].repeat(n), "cell": cells.ravel(), "place": np.tile(np.arange(1, n + 1), len(rows))})
     kind = vectors.schema["vec_id"].dataType.simpleString()
@@ -90,14 +95,49 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _scored(queries: DataFrame, rows: DataFrame, on: str) -> DataFrame:
-    return queries.join(rows, on).where("query_id <> vec_id").withColumn("score", dot("q", "v")).drop("q", "v")
+def _dots(q: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Inner products, each summed in the order of components, so that equal vectors have equal ones."""
+    out = np.zeros((len(q), columns.shape[1]))
+    for j, column in enumerate(columns):
+        out += q[:, j, None] * column
+    return out
+
+
+def _nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query_id, vec_id, score, cell) of the k best of these rows for each of these queries, their own id left out."""
+    found = []
+    if len(queries) and len(rows):
+        rows = rows.sort_values("vec_id", kind="stable")
+        ids, cells = rows["vec_id"].to_numpy(), rows["cell"].to_numpy()
+        columns, q, of = np.ascontiguousarray(np.stack(rows["v"].to_numpy()).T), np.stack(queries["q"].to_numpy()), queries["query_id"].to_numpy()
+        for a in range(0, len(q), _QUERIES):
+            scores = _dots(q[a:a + _QUERIES], columns)
+            scores[of[a:a + _QUERIES, None] == ids] = -np.inf
+            least = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+            for i, s in enumerate(scores):
+                above = np.flatnonzero(s > least[i])
+                pick = np.append(above, np.flatnonzero(s == least[i])[:max(0, k - len(above))])  # ties to smaller ids
+                pick = pick[s[pick] > -np.inf]
+                found.append(pd.DataFrame({"query_id": of[a + i], "vec_id": ids[pick], "score": s[pick], "cell": cells[pick]}))
+    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "cell": []})
+
+
+def _met(queries: DataFrame, rows: DataFrame, on: list[str], k: int) -> DataFrame:
+    """(query_id, vec_id, score, cell): the k best rows of each group for each query that is sent there."""
+    kind = rows.schema["vec_id"].dataType.simpleString()
+    return queries.groupBy(*on).cogroup(rows.groupBy(*on)).applyInPandas(
+        lambda q, r: _nearest(q, r, k), f"query_id {kind}, vec_id {kind}, score double, cell int")
 
 
 def search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, probes: int = 8) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows found for each of the unit vectors `queries`, their own id left out."""
     probed = _with_cells(queries, centroids, probes).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "cell")
-    return _best(_scored(probed, index, "cell"), k).select("query_id", "rank", "vec_id", "score")
+    # a row for each cell
+    parts = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("parts"))
+    rows = index.join(F.broadcast(probed.select("cell").distinct().join(F.broadcast(parts), "cell")), "cell")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+    sent = probed.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return _best(_met(sent, rows, ["cell", "part"], k), k).select("query_id", "rank", "vec_id", "score")
 
 
 def scanned(index: DataFrame, centroids: np.ndarray, queries: DataFrame, probes: int) -> DataFrame:
@@ -108,10 +148,10 @@ def scanned(index: DataFrame, centroids: np.ndarray, queries: DataFrame, probes:
 
 def exact(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score, cell) by looking at all rows: these are dealt by number, and each query goes to every number."""
-    deals = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deals = max(1, -(-index.count() // GROUP_ROWS))
     everywhere = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
     rows = index.withColumn("deal", F.pmod(F.xxhash64("vec_id"), F.lit(deals)).cast("int"))
-    return _best(_scored(everywhere, rows, "deal"), k).select("query_id", "rank", "vec_id", "score", "cell")
+    return _best(_met(everywhere, rows, ["deal"], k), k).select("query_id", "rank", "vec_id", "score", "cell")
 
 
 def calibrated(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, recall: float = 0.9) -> int:

@@ -90,3 +90,22 @@ def test_query_against_all_pairs(spark, sf_dir):
         assert all(abs(r.score - scores[ids == r.vec_id][0]) < 1e-9 for r in mine)
         hits += len({r.vec_id for r in mine} & set(ids[np.argsort(-scores)[:10]].tolist()))
     assert hits >= 0.9 * len(got)
+
+
+def test_groups_of_bounded_rows(spark, built, monkeypatch):
+    """Cells and tables of many rows are searched in groups of their own, with the same rows found; the scores are summed as `dot` does."""
+    from lodestream.functions.text import dot
+    rows, centroids, index = built
+    queries = rows.where("vec_id % 37 = 0")
+    whole = lists(neighbours.search(index, centroids, queries, 10, 5))
+    met, sizes = neighbours._nearest, spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 16)
+
+    def watched(q, r, k):
+        sizes.add(1)
+        return met(q, r, k)
+    monkeypatch.setattr(neighbours, "_nearest", watched)
+    assert lists(neighbours.search(index, centroids, queries, 10, 5)) == whole and sizes.value > 2 * len(centroids)
+    assert lists(neighbours.exact(index, queries)) == {i: best(i) for i in range(0, len(POINTS), 37)}
+    found = neighbours.exact(index, queries).join(queries.selectExpr("vec_id AS query_id", "v AS q"), "query_id").join(rows, "vec_id")
+    assert found.where(F.col("score") != dot("q", "v")).count() == 0
