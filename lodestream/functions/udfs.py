@@ -10,8 +10,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+#: Whole texts that a Python worker gets at once, and bytes of them (where Spark has that setting): a batch is held several times over.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
+def bounded_batches() -> None:
+    """Lower the session's Arrow batches to these bounds; the settings stay, as plans that were made under them run later."""
+    conf = SparkSession.active().conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = (conf.get(key) or "").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+
 
 def plain(text: str | None) -> str | None:
     """text without accents and other marks: canonically decomposed, marks dropped. No built-in function decomposes letters."""
@@ -27,6 +41,7 @@ def plain_by_row():
 
 def plain_by_arrow():
     """The same, carried by Arrow."""
+    bounded_batches()
     return F.udf(plain, "string", useArrow=True)
 
 
@@ -42,6 +57,7 @@ def byte_length():
     """Bytes of a text in UTF-8; null for null."""
     def length(texts: pa.Array) -> pa.Array:
         return pc.cast(pc.binary_length(pc.cast(texts, pa.binary())), pa.int64())
+    bounded_batches()
     return F.arrow_udf(length, "long")
 
 

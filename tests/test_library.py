@@ -183,3 +183,18 @@ def test_nearest_on_either_side(spark):
 
 def test_plain_letters():
     assert [udfs.plain(t) for t in (None, "", "abc", "é́ñ ﬁ 中 ß", "Å")] == [None, "", "abc", "en ﬁ 中 ß", "A"]
+
+
+def test_texts_come_in_bounded_batches(spark, sf_dir):
+    """Python workers get few whole texts at once, whatever the session's setting, and no more than a smaller one."""
+    from lodestream.functions import udfs
+    from lodestream.plans import udfs as queries
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for rows, most in (("10000", udfs.BATCH_ROWS), ("0", udfs.BATCH_ROWS), ("100", 100)):
+            spark.conf.set(key, rows)
+            for query in (queries.udf_by_arrow, queries.arrow_udf):
+                assert query(spark, sf_dir).count() == 200 and int(spark.conf.get(key)) == most
+    finally:
+        spark.conf.set(key, before)
