@@ -54,10 +54,10 @@ class Visits(StatefulProcessor):
             state.clear()
 
     @staticmethod
-    def _row(key, visit) -> pd.DataFrame:
-        (first, last, n), items, values = visit
-        return pd.DataFrame({"key": [str(key[0])], "first_ms": [first], "last_ms": [last], "n": [n],
-                             "items": [",".join(f"{k}:{c}" for k, c in sorted(items.items()))], "total": [float(sum(values))]})
+    def _rows(key, visits: list) -> pd.DataFrame:
+        """A row for each visit, in one table: to make one costs more than its rows."""
+        found = [(str(key[0]), first, last, n, ",".join(f"{k}:{c}" for k, c in sorted(items.items())), float(sum(values))) for (first, last, n), items, values in visits]
+        return pd.DataFrame(found, columns=["key", "first_ms", "last_ms", "n", "items", "total"])
 
     def handleInputRows(self, key, rows, timerValues):
         """The state is read and written once a batch, however many rows there are."""
@@ -70,9 +70,10 @@ class Visits(StatefulProcessor):
             if at < watermark:  # Spark drops what is behind the watermark of the batch before
                 continue
             if visit and at - visit[0][1] > self.gap:
-                over.append(self._row(key, visit))
+                over.append(visit)
+                if known:  # later visits of the batch have no state yet
+                    self._drop()
                 visit, known = None, 0
-                self._drop()
             if visit is None:
                 visit = ([at, at, 0], {}, [])
             span, items, values = visit
@@ -84,13 +85,14 @@ class Visits(StatefulProcessor):
         if visit:
             self._hold(visit, known)
             self.handle.registerTimer(visit[0][1] + self.gap)
-        yield from over
+        if over:
+            yield self._rows(key, over)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         visit = self._held()
         if visit and visit[0][1] + self.gap <= expiredTimerInfo.getExpiryTimeInMs():
             self._drop()
-            yield self._row(key, visit)
+            yield self._rows(key, [visit])
 
     def close(self) -> None:
         pass

@@ -61,3 +61,27 @@ def test_items_come_again_after_expiry(spark, tmp_path):
     assert run([(4, at(1), "a", "view", 0.0), (5, at(1), "a", "click", 0.0)]) == [1, 3, 5]
     time.sleep(20)
     assert run([(6, at(1), "a", "view", 0.0)]) == [1, 3, 5, 6]
+
+
+class Calls:
+    """A handle and states that hold nothing, and count what is asked of them."""
+
+    def __init__(self):
+        self.n = {}
+
+    def __getattr__(self, name):
+        def call(*_):
+            self.n[name] = self.n.get(name, 0) + 1
+            return False if name == "exists" else self
+        return call
+
+
+def test_visits_that_end_within_a_batch_cost_no_calls():
+    import pandas as pd
+    visits, calls = state.Visits(3_600_000), Calls()
+    visits.init(calls)
+    calls.getCurrentWatermarkInMs = lambda: 0
+    rows = pd.DataFrame({"ts": [pd.Timestamp(at(h)) for h in range(0, 24, 2)], "item": "view", "value": 1.0})
+    tables = list(visits.handleInputRows(("a",), iter([rows]), calls))
+    assert [len(t) for t in tables] == [11] and tables[0]["n"].sum() == 11
+    assert "clear" not in calls.n and calls.n["registerTimer"] == 1
